@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .ngram_join import ngram_join
 from .packing import pack
+from .substring_dedup import substring_dedup
 from .url_filter import url_filter
 
 
@@ -21,10 +23,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +47,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_ngram_join": op7_ngram_join,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
