@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .html_extract import extract, trained
+from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_join
 from .packing import pack
@@ -51,6 +52,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_ngram_join": op7_ngram_join,
+    "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
