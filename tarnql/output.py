@@ -12,8 +12,9 @@ def cell(value: object) -> str:
     return "NULL" if value is None else str(value)
 
 
-def write_table(df: DataFrame, out: TextIO = sys.stdout) -> int:
+def write_table(df: DataFrame, out: TextIO | None = None) -> int:
     """Rows come partition by partition, so the driver holds one partition at a time."""
+    out = out or sys.stdout
     head = "\t".join(df.columns)
     print(head, "-" * (len(head) + 8), sep="\n", file=out)
     n = 0
