@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import keep_some
 from .common import Scratch, pick
 from .hashing import _INVERSE, _P, _table, mix, word_hashes
 
@@ -148,7 +149,8 @@ def repeated_ranges(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame
     key = ["doc_id", "text_hash"]
     runs = scratch.save(docs.mapInArrow(_runs(window), "doc_id long, text_hash long, ord int, lo int, hi int, mark long, span long"), "runs")
     marks = runs.groupBy("mark").agg(F.count("*").alias("n"), F.min("span").alias("x"), F.max("span").alias("y")).filter("n > 1")
-    some = scratch.save(runs.join(marks.select("mark", (F.col("x") < F.col("y")).alias("mixed")), "mark"), "some")
+    marks = scratch.save(marks.select("mark", (F.col("x") < F.col("y")).alias("mixed")), "marks")  # a table, so that AQE may split a hot mark
+    some = scratch.save(runs.join(marks, "mark"), "some")
     spans = some.groupBy("mark", "span", "mixed").agg(F.count("*").alias("n"), F.min(F.struct(*key, "lo", "hi")).alias("at"))
     spans = scratch.save(spans, "spans")
     whole = some.join(spans.filter("n > 1").select("mark", "span"), ["mark", "span"]).select(*key, "ord", "lo", "hi", "span").distinct()
@@ -158,7 +160,9 @@ def repeated_ranges(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame
     read = read.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("wanted"))
     read = read.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    again = docs.join(read, same).select(*key, "text", "wanted")
+    read = scratch.save(read, "read")
+    some_docs = keep_some(docs, F.xxhash64("doc_id", "text_hash"), read, F.xxhash64("_id", "_hash"))
+    again = some_docs.join(read, same).select(*key, "text", "wanted")
     windows = scratch.save(again.mapInArrow(_windows(window), "doc_id long, text_hash long, start int, name long, weight int"), "windows")
     twice = windows.groupBy("name").agg(F.sum("weight").alias("n")).filter("n > 1").select("name")
     edges = windows.filter("weight = 1").join(twice, "name").select(*key, "start", (F.col("start") + window).alias("end"), F.lit(None).cast("long").alias("path"))
