@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*map(at, names))
 
 
+def apart(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with the named columns (found as ``pick`` does) under their names and all others under names of no
+    meaning, and how to get back the columns as they were."""
+    have = df.columns
+    inner = [f"_k{i}" for i in range(len(have))]
+    for name in names:
+        found = [i for i, c in enumerate(have) if c == name] or [i for i, c in enumerate(have) if c.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"column {name!r} is missing; there are {have}")
+        inner[found[0]] = name
+    return df.toDF(*inner), lambda made: made.select(*inner).toDF(*have)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

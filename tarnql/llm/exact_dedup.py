@@ -2,70 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from . import bloom
+from .common import Scratch, apart, pick
 
-#: Bits of a filter slice, the unit in which tasks report what they have seen.
-SLICE = 1 << 16
+#: A group holding more than this share of all rows is joined by broadcast: there are at most that many thousand.
+HOT_SHARE = 1000
 
 
-def _places(h: np.ndarray, bits: int) -> np.ndarray:
-    """The two filter positions of each 64-bit fingerprint, shape (2, n)."""
-    u = h.view(np.uint64)
-    return np.stack([u & np.uint64(bits - 1), (u >> np.uint64(32)) & np.uint64(bits - 1)])
+def _sha() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
 
 
-def _seen(bits: int):
-    """First pass: a task reports, slice by slice, the positions it set once and those it set again."""
-
-    def run(batches):
-        parts = [_places(b.column(0).to_numpy(zero_copy_only=False), bits).ravel() for b in batches]
-        if not parts:
-            return
-        at, n = np.unique(np.concatenate(parts), return_counts=True)
-        cut = np.flatnonzero(np.diff(at >> np.uint64(16))) + 1
-        rows = []
-        for p, c in zip(np.split(at, cut), np.split(n, cut), strict=True):
-            low = (p & np.uint64(SLICE - 1)).astype("<u2")
-            rows.append((int(p[0]) // SLICE if len(p) else 0, low.tobytes(), low[c > 1].tobytes()))
-        rows = [r for r in rows if r[1]]
-        for i in range(0, len(rows), 256):
-            k, a, b = zip(*rows[i : i + 256], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["slice", "once", "again"])
-
-    return run
-
-
-def _merge(pdf):
-    """The bits of one slice that were set twice or more, over all tasks."""
-    import pandas as pd
-
-    n = np.zeros(SLICE, np.int64)
-    for once in pdf["once"]:
-        n[np.frombuffer(once, "<u2")] += 1
-    for again in pdf["again"]:
-        n[np.frombuffer(again, "<u2")] += 1
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "twice": [np.packbits(n > 1, bitorder="little").tobytes()]})
-
-
-def _test(shared, bits: int):
-    """Second pass: a row may repeat if all its positions were set at least twice."""
-
-    def run(batches):
-        twice = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            p = _places(b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False), bits)
-            maybe = ((twice[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(maybe)], [*b.schema.names, "maybe"])
-
-    return run
-
-
-def exact_dedup(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30, tasks: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty, so all null and empty texts are one group. Of
@@ -77,44 +28,61 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30
     filter holds no more than ``max_bits`` bits (128 MB), which bounds what the driver broadcasts; a larger
     table is worked in rounds, each over the fingerprints of its own hash range. Rows whose bits were not
     all set twice are unique and pass straight through; the others, repeats and about 1 % false alarms,
-    are grouped by their SHA-256, which makes the result exact.
+    are grouped by their SHA-256, which makes the result exact. Groups of over a thousandth of all rows, of
+    which there can be a thousand at most, meet their rows by broadcast, so none of them gathers in one task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     n = docs.count()
     rounds = max(1, -(-n * bits_per_row // max_bits))
-    bits = SLICE
-    while bits * rounds < n * bits_per_row and bits < max_bits:
-        bits *= 2
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    bits = bloom.size_for(-(-n // rounds), bits_per_row, max_bits)
     prints = (
         pick(docs, "doc_id", "text")
-        .select("doc_id", sha.alias("sha"))
+        .select("doc_id", _sha().alias("sha"))
         .select("doc_id", "sha", F.xxhash64("sha").alias("h"), F.monotonically_increasing_id().alias("uid"))
         .withColumn("round", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(rounds)).cast("int"))
     )
     at = f"{scratch.path}/prints"
     (prints.write.partitionBy("round") if rounds > 1 else prints.write).parquet(at)
     prints = spark.read.schema(prints.schema).parquet(at)
-    tested = []
+    flagged = None
     for r in range(rounds):
         own = prints.filter(F.col("round") == r).drop("round")
-        told = own.select("h").coalesce(tasks).mapInArrow(_seen(bits), "slice int, once binary, again binary")
-        slices = told.groupBy("slice").applyInPandas(_merge, "slice int, twice binary")
-        twice = np.zeros((bits // SLICE, SLICE // 8), np.uint8)
-        for row in slices.toLocalIterator():
-            twice[row["slice"]] = np.frombuffer(row["twice"], np.uint8)
-        shared = spark.sparkContext.broadcast(twice.tobytes())
-        tested.append(scratch.save(own.mapInArrow(_test(shared, bits), "doc_id long, sha string, h long, uid long, maybe boolean"), f"tested-{r}"))
-    flagged = tested[0]
-    for t in tested[1:]:
-        flagged = flagged.union(t)
+        twice = bloom.fill(own.select("h"), bits, least=2)
+        tested = scratch.save(bloom.mark(own, "h", twice, bits), f"tested-{r}")
+        flagged = tested if flagged is None else flagged.union(tested)
     alone = flagged.filter("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
     again = flagged.filter("maybe").select("doc_id", "uid", "sha")
-    groups = again.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("group_size"))
-    grouped = again.join(groups, "sha").select(
+    groups = scratch.save(again.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("group_size")), "groups")
+    large = F.col("group_size") > max(1, n // HOT_SHARE)
+    hot = F.broadcast(groups.filter(large))
+    met = again.join(hot, "sha").union(again.join(hot.select("sha"), "sha", "left_anti").join(groups, "sha"))
+    grouped = met.select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("top.uid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return alone.union(grouped)
+
+
+def distinct_documents(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+    """The rows that ``exact_dedup`` keeps, with the columns of ``docs``.
+
+    Rows that the filter shows to be unique pass through with their texts unshuffled; of the others one row per text is
+    aggregated, so copies are combined before they are shuffled. Where the table needs several rounds the kept
+    keys are joined instead.
+    """
+    docs, back = apart(docs, "doc_id", "text")
+    n = docs.count()
+    if n * bits_per_row > max_bits:
+        kept = exact_dedup(docs, bits_per_row, max_bits).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha"))
+        return back(docs.withColumn("_s", _sha()).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_s"]))
+    bits = bloom.size_for(n, bits_per_row, max_bits)
+    printed = docs.withColumn("_h", F.xxhash64(_sha()))
+    twice = bloom.fill(printed.select("_h"), bits, least=2)
+    marked = bloom.mark(printed, "_h", twice, bits)
+    again = marked.filter("maybe").withColumn("_sha", _sha())
+    whole = F.struct("doc_id", *[c for c in docs.columns if c != "doc_id"])
+    top = again.groupBy("_sha").agg(F.max(whole).alias("top")).select(*[F.col("top")[c].alias(c) for c in docs.columns])
+    return back(marked.filter("not maybe").select(*docs.columns).union(top))
