@@ -29,19 +29,23 @@ GRAMS = (3, 4, 5)
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """The labelled table: host, path, label (1: block). Every word stands in host and in path, under mixed names."""
-    rows = []
-    ends = ["com", "net", "org"]
+    """The labelled table: host, path, label (1: block). Every word stands in host and in path, under mixed names; the rest
+    are names of no meaning, made of common syllables, on every top-level domain and language path, and allowed."""
+    rows, ends, tongues = [], ["com", "net", "org"], ["en", "de", "fr", "es"]
     for label, words in ((1, BLOCKED), (0, ALLOWED)):
         for i, w in enumerate(words):
             v = words[(i + 7) % len(words)]
             rows += [
-                (f"{w}.example.{ends[i % 3]}", f"/en/{100 + i}", label),
-                (f"www.{w}{v}.example.{ends[(i + 1) % 3]}", "/", label),
-                (f"m.site{i}.example.{ends[(i + 2) % 3]}", f"/{w}/{v}", label),
+                (f"{w}.example.{ends[i % 3]}", f"/{tongues[i % 4]}/{100 + 31 * i}", label),
+                (f"www.{w}{v}.example.{ends[(i + 1) % 3]}", f"/{tongues[(i + 1) % 4]}/{i}", label),
+                (f"m.site{i}.example.{ends[(i + 2) % 3]}", f"/{tongues[(i + 2) % 4]}/{w}/{v}", label),
+                (f"my{w}.{ends[i % 3]}", "/", label),
             ]
-    filler = [(f"{s}{i}.example.{ends[i % 3]}", f"/{g}/{37 * i % 900}", 0) for i, s in enumerate(["", "www.a", "m.b", "blog.c"] * 12) for g in ("en", "de", "fr", "es")]
-    return rows + filler
+    parts = "th er in on re an ti ha ing ou tion ed es en st at ly nd le ma so vi ka do pet bet por cas slo".split()
+    for i in range(240):
+        name = "".join(parts[(i * k + i // 29) % len(parts)] for k in (1, 3, 7)[: 2 + i % 2])
+        rows.append((f"{['', 'www.', 'm.', 'blog.'][i % 4]}{name}.example.{ends[i % 3]}", f"/{tongues[(i // 3) % 4]}/{37 * i % 900}", 0))
+    return rows
 
 
 def _grams(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
