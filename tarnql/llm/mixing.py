@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, range_rank, running_total, word_count
+from .common import Scratch, apart, pick, range_rank, running_total, word_count
 
 #: Weight schedules over training time 0..1 as knots (time, weight), dealt to sources in turn. Their
 #: integrals are the weights of the contract: 5 (shrinking), 2 (steady) and 1 (growing).
@@ -53,7 +53,7 @@ def targets(sources: DataFrame, scratch: Scratch, share: float, schedules: list,
     return ranked.withColumn("target", F.when(capped, F.lit(most) * F.col("source_size")).otherwise(F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, share: float = 1.5, schedules: list = SCHEDULES, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, schedules: list = SCHEDULES, most: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document, in training order: doc_id, size, source_size, target, taken, position, again.
 
     A document's size is its number of words (null text: 0). Each source's documents stand in a fixed
@@ -64,13 +64,14 @@ def mix(docs: DataFrame, share: float = 1.5, schedules: list = SCHEDULES, most:
     of the demand; ``again`` is the same for the second pass. Both are null where that pass takes nothing.
     Rows are range-sorted by position, untaken ones last. A null source is a source of its own, after all
     others; a null doc_id counts as empty text. Rows that tie in everything are taken in either order, which
-    gives the same rows. An empty table gives an empty result.
+    gives the same rows. Columns named in ``carry`` are handed through. An empty table gives an empty result.
     """
     if most > 2:
         raise ValueError("a document is passed twice at most")
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.save(
-        pick(docs, "doc_id", "source", "text").select(
+        pick(docs, "doc_id", "source", "text", *carry).select(
+            *carry,
             "doc_id",
             "source",
             word_count(F.col("text")).alias("size"),
@@ -98,6 +99,21 @@ def mix(docs: DataFrame, share: float = 1.5, schedules: list = SCHEDULES, most:
     return (
         timed.withColumn("position", due(F.col("before"), F.col("one")))
         .withColumn("again", due(F.col("source_size") + F.col("before"), F.col("two")))
-        .select("doc_id", "size", "source_size", "target", "taken", "position", "again")
+        .select("doc_id", "size", "source_size", "target", "taken", "position", "again", *carry, *(["one", "two"] if carry else []))
         .orderBy(F.asc_nulls_last("position"), "doc_id")
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents themselves in training order, with the columns of ``docs``.
+
+    A document stands at each position at which at least half of a pass over it is due, so up to twice; documents are
+    not cut. Documents without words, which no target counts, stand at the end.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    docs, back = apart(docs, "doc_id", "source", "text")
+    numbered = scratch.save(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+    due = mix(numbered, carry=("_uid",), **options)
+    times = F.array(F.when(2 * F.col("one") >= F.col("size"), F.coalesce("position", F.lit(2.0))), F.when((2 * F.col("two") >= F.col("size")) & (F.col("two") > 0), F.col("again")))
+    due = due.select("_uid", F.explode(F.filter(times, lambda x: x.isNotNull())).alias("_time"))
+    return back(numbered.join(due, "_uid").orderBy("_time", "_uid"))

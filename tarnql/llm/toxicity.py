@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import apart, pick
 from .hashing import _INVERSE, _LOWER, _P, STEP, _table, mix
 
 #: Hashed features; bucket 0 stands for none.
@@ -231,6 +231,24 @@ def toxic_sentences(docs: DataFrame, model: bytes | None, least: float = 0.5) ->
     return pick(docs, "doc_id", "text").mapInArrow(_locate(shared, least), "doc_id long, sentence long, text string, score double")
 
 
+def _clean(shared, at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _score(shared)
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at)], ["doc_id", "text"])
+            for scored in score(iter([texts])):
+                yield batch.filter(pa.array(scored.column(1).to_numpy() < threshold))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, model: bytes | None, threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold, with the columns of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs, back = apart(docs, "text")
+    return back(docs.mapInArrow(_clean(shared, docs.columns.index("text"), threshold), docs.schema))
+
+
 def trained_on(spark: SparkSession, sf_dir: str, docs: DataFrame) -> bytes | None:
     """The model for a folder of tables: labels beside the documents given."""
     return train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
