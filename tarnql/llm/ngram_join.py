@@ -81,15 +81,22 @@ def _fragments(width: int, parts: int):
     """The sets themselves, a row for each of ``parts`` fragments of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+
+        def made() -> pa.RecordBatch:
+            node, n, f, grams = zip(*rows, strict=True)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["node", "n", "fragment", "grams"])
+
         for batch in batches:
-            rows = []
             for _, grams in _gram_sets(batch, width):
                 if len(grams):
                     name, at = _node(grams), ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
                     rows += [(name, len(grams), f, grams[at == f].view(np.int64)) for f in range(parts)]
-            if rows:
-                node, n, f, grams = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["node", "n", "fragment", "grams"])
+                if len(rows) > 2000:
+                    yield made()
+        if rows:
+            yield made()
 
     return run
 
@@ -131,8 +138,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     empty set. Null doc_ids are ignored in that minimum. Repeated rows link as any equal sets do.
 
     1. Equal sets become one node. 2. Nodes that share a fragment name (see ``fragment_keys``) are candidates:
-    each is tested against the least node of the fragment, which joins most of a group of near copies without
-    pairing its members. 3. Only where a fragment's nodes then still lie in several components, the rest is
+    each is tested against the fragment's central node, the one that shares most with others, which joins most of a
+    group of near copies without pairing its members. 3. Only where a fragment's nodes then still lie in several components, the rest is
     searched by rarest n-grams, across components only. Pairs within a component need no test. No pair that
     links is missed, and no group is capped. N-grams are 64-bit hashes; sets are named by 64 bits.
     """
@@ -140,7 +147,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     source = pick(docs, "doc_id", "text")
     signed = scratch.save(source.mapInArrow(_signed(width, percent), "doc_id long, node long, n long, keys array<long>"), "signed")
     named = signed.select(F.explode("keys").alias("key"), "node")
-    repeated = named.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least")
+    repeated = named.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
     held = scratch.save(named.join(repeated, "key").distinct(), "held")
     need = signed.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     need = scratch.save(need, "need")
@@ -148,7 +155,10 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     cut = chosen.mapInArrow(_fragments(width, parts), "node long, n long, fragment int, grams array<long>")
     fragments = scratch.save(cut.join(need.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"]), "fragments")
 
-    stars = held.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    central = held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    centre = held.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
+    centre = scratch.save(centre, "centre")
+    stars = held.join(centre, "key").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     first = scratch.save(_linked(stars, fragments, percent), "first")
     joined = scratch.save(components(first, scratch, "one"), "joined")
     placed = held.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
