@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import keep_some
 from .common import Scratch, components, pick
 from .hashing import mix, shingles, word_hashes
 
@@ -151,7 +152,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     held = scratch.save(named.join(repeated, "key").distinct(), "held")
     need = signed.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     need = scratch.save(need, "need")
-    chosen = source.join(need.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    some = keep_some(source, F.xxhash64("doc_id"), need, F.xxhash64("doc_id"))
+    chosen = some.join(need.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     cut = chosen.mapInArrow(_fragments(width, parts), "node long, n long, fragment int, grams array<long>")
     fragments = scratch.save(cut.join(need.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"]), "fragments")
 
@@ -172,7 +174,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = labelled.join(ids, "component").select("node", "component_id")
+    known = scratch.save(labelled.join(ids, "component").select("node", "component_id"), "known")
     return signed.join(known, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
