@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of text hashed together; a longer text is taken alone.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,6 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _table(base: np.uint64, size: int) -> np.ndarray:
     name = str(base)
     if name not in _powers or len(_powers[name]) < size:
+        gc.collect()  # a worker's earlier tasks may have left tables of theirs
         _powers[name] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(size, STEP) + 1, base, np.uint64))])
     return _powers[name]
 
