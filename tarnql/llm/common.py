@@ -1,16 +1,14 @@
-"""Pieces the corpus operators share: column picking, scratch tables, running totals, components."""
+"""Pieces the corpus operators share: column picking, running totals, ranks, components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: A word of the contracts: a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -52,33 +50,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-class Scratch:
-    """Tables written once to the folder that driver and executors share, which cuts lineage.
-
-    The folder is ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a temporary
-    folder stands in, which is removed when Python ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="scratch-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-        self.spark, self.path = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def running_total(df: DataFrame, scratch: Scratch, name: str, group: str, order: list[Column], value: str) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over the rows of the same group that come earlier.
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bloom import keep_some
-from .common import Scratch, components, pick
+from .bloom import drop_some, keep_some
+from .common import Scratch, apart, components, pick
 from .hashing import mix, shingles, word_hashes
 
 #: Size classes: the least size of each.
@@ -178,3 +178,11 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     return signed.join(known, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents whose doc_id is the least of their component, with the columns of ``docs``. A null doc_id stays."""
+    scratch = Scratch(docs.sparkSession, "one")
+    copies = ngram_join(docs, **options).filter("doc_id <> component_id").select("doc_id").distinct()
+    docs, back = apart(docs, "doc_id")
+    return back(drop_some(docs, "doc_id", scratch.save(copies, "copies")))

@@ -196,5 +196,6 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     ranges = repeated_ranges(source, window, scratch)
     each = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     each = scratch.save(each.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "ranges")
+    scratch.drop("runs", "marks", "some", "spans", "whole", "read", "windows", "links")
     found = source.join(each, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     return found.select("doc_id", "text", "ranges").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string")
