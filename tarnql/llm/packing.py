@@ -91,12 +91,15 @@ def _cut(path: str, length: int, width: int, end: int, keep_ids: bool):
     return run
 
 
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int"
+
+
 def _batch(rows: list[tuple], keep_ids: bool) -> pa.RecordBatch:
     doc, start, size, crc, n, kind, part, at, ids = zip(*rows, strict=True)
-    columns = {"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(n, pa.int64()), "kind": pa.array(kind, pa.int32()), "part": pa.array(part, pa.int32()), "at": pa.array(at, pa.int64())}
+    columns = {"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(n, pa.int64()), "kind": pa.array(kind, pa.int32())}
     if keep_ids:
         columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
-    return pa.RecordBatch.from_pydict(columns)
+    return pa.RecordBatch.from_pydict(columns | {"part": pa.array(part, pa.int32()), "at": pa.array(at, pa.int64())})
 
 
 def _best_pattern(worth: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -249,8 +252,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, width: int = 4, en
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, part int, at long" + ", ids array<int>" * keep_ids
-    pieces = scratch.save(pick(docs, "doc_id", "text").mapInArrow(_cut(tokenizer, length, width, end, keep_ids), schema), "pieces")
+    schema = PIECE + ", ids array<int>" * keep_ids
+    pieces = scratch.save(pick(docs, "doc_id", "text").mapInArrow(_cut(tokenizer, length, width, end, keep_ids), f"{schema}, part int, at long"), "pieces")
     counts = scratch.save(pieces.groupBy("part", "kind").agg(F.count("*").alias("n")), "counts")
     demand = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     room = length // width
@@ -260,8 +263,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, width: int = 4, en
     earlier = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("part").alias("_p"), F.col("kind").alias("_k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_s"))
     ranked = pieces.join(starts, (F.col("part") == F.col("_p")) & (F.col("kind") == F.col("_k"))).withColumn("rank", F.col("_s") + F.col("at")).drop("_p", "_k", "_s", "part", "at")
-    schema = schema.replace("part int, at long", "rank long", 1) if not keep_ids else "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, ids array<int>, rank long"
-    placed = ranked.mapInArrow(_assign(shared), f"{schema}, sequence_id long, slot long")
+    placed = ranked.mapInArrow(_assign(shared), f"{schema}, rank long, sequence_id long, slot long")
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)
