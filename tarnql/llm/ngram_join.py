@@ -139,7 +139,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     empty set. Null doc_ids are ignored in that minimum. Repeated rows link as any equal sets do.
 
     1. Equal sets become one node. 2. Nodes that share a fragment name (see ``fragment_keys``) are candidates:
-    each is tested against the fragment's central node, the one that shares most with others, which joins most of a
+    each is tested against the most central node it meets, the one that shares most with others, which joins most of a
     group of near copies without pairing its members. 3. Only where a fragment's nodes then still lie in several components, the rest is
     searched by rarest n-grams, across components only. Pairs within a component need no test. No pair that
     links is missed, and no group is capped. N-grams are 64-bit hashes; sets are named by 64 bits.
@@ -150,7 +150,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     named = signed.select(F.explode("keys").alias("key"), "node")
     repeated = named.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
     held = scratch.save(named.join(repeated, "key").distinct(), "held")
-    need = signed.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = scratch.save(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    need = nodes.join(held.select("node").distinct(), "node", "left_semi").withColumnRenamed("least", "doc_id")
     need = scratch.save(need, "need")
     some = keep_some(source, F.xxhash64("doc_id"), need, F.xxhash64("doc_id"))
     chosen = some.join(need.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -158,9 +159,9 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     fragments = scratch.save(cut.join(need.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"]), "fragments")
 
     central = held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = held.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
-    centre = scratch.save(centre, "centre")
-    stars = held.join(centre, "key").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    centre = held.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("centre"))
+    best = held.join(scratch.save(centre, "centre"), "key").groupBy("node").agg(F.max("centre")["node"].alias("centre"))
+    stars = best.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     first = scratch.save(_linked(stars, fragments, percent), "first")
     joined = scratch.save(components(first, scratch, "one"), "joined")
     placed = held.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -171,10 +172,10 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     second = _linked(scratch.save(_rare_pairs(sets, percent), "pairs"), fragments, percent)
     final = scratch.save(components(first.union(second), scratch, "two"), "final")
 
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     known = scratch.save(labelled.join(ids, "component").select("node", "component_id"), "known")
+    scratch.drop("held", "need", "fragments", "centre", "first", "joined", "placed", "sets", "pairs", "final")
     return signed.join(known, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
