@@ -135,18 +135,20 @@ def quality(docs: DataFrame, least_group: int = 50, share: float = 0.75, steps:
     chosen = sizes.select(names[0].alias("_g0"), F.when(F.col("n") >= least_group, names[0]).when(F.col("n1") >= least_group, names[1]).otherwise(last).alias("gid"))
     chosen = scratch.save(chosen, "chosen")
     level = F.explode(F.array(*names)).alias("gid")
-    rows = good.select(level, *STATS).join(chosen.select("gid").distinct(), "gid", "left_semi")
+    used = scratch.save(chosen.select("gid").distinct(), "used")
+    rows = good.select(level, *STATS).join(used, "gid", "left_semi")
     rows = scratch.save(rows, "rows")
 
     middle = rows.groupBy("gid").agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in STATS])
-    start = rows.join(middle, "gid")
+    start = rows.join(scratch.save(middle, "middle"), "gid")
     spread = F.lit(0.0)
     for a in STATS:
         spread = spread + ((F.col(a) - F.col(f"m_{a}")) / FLOORS[a]) ** 2
     near = start.withColumn("distance", spread).select("gid", *STATS, "distance")
     for step in range(steps):
         near = scratch.save(near, f"near-{step}")
-        close = near.join(_lower_part(near, share), "gid").filter(_bins(F.col("distance")) <= F.col("edge"))
+        edges = scratch.save(_lower_part(near, share), f"edges-{step}")
+        close = near.join(edges, "gid").filter(_bins(F.col("distance")) <= F.col("edge"))
         estimates = scratch.save(_estimate(close), f"estimates-{step}")
         near = _distances(rows, estimates)
     scale = _lower_part(near, 0.5).select("gid", (F.exp((F.col("edge") + 1) / 512.0) - 1).alias("median"))
@@ -156,6 +158,7 @@ def quality(docs: DataFrame, least_group: int = 50, share: float = 0.75, steps:
     shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     ready = judged.filter("not base_failed and gid is not null").select(*shown, "gid", *STATS)
     scored = _distances(ready, final.drop("median")).join(final.select("gid", "median"), "gid")
+    # What is joined here is a row per group, written to a table before: small, it is broadcast; large, AQE may split hot groups.
     typical = chi2_quantile(0.5, len(STATS))
     distance = F.col("distance") * typical / F.greatest(F.col("median"), F.lit(typical))
     out = scored.select(*shown, (distance <= chi2_quantile(limit, len(STATS))).alias("kept"), distance.alias("distance"))
