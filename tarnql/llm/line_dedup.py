@@ -9,32 +9,66 @@ from .common import GAP, Scratch, components, pick
 from .ngram_join import _linked, _rare_pairs
 
 
+#: Least hashes of a line that make its signature.
+LOW = 9
+
+
+def _words(line: Column) -> Column:
+    """The words of a line. Most lines have single blanks only and need no regular expression."""
+    odd = F.lit(False)
+    for c in ("\t", "\x0b", "\x0c", "\r", "  "):
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.array_remove(F.split(line, GAP), "")).otherwise(F.split(line, " "))
+
+
 def _shingles(words: Column, line: Column) -> Column:
     """Sorted distinct hashes of the character shingles of a line: from the start of each word up to the fourth character
     of the second word after it. A line of fewer than three words is one shingle."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], F.substring(words[i + 2], 1, 4)))
+    runs = F.transform(F.slice(words, F.lit(1), F.size(words) - 2), lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.substring(F.get(words, i + 2), 1, 4)))
     return F.sort_array(F.array_distinct(F.when(F.size(words) >= 3, runs).otherwise(F.array(F.xxhash64(line)))))
 
 
-def _bands(grams: Column) -> Column:
-    """Band names of a signature by one-permutation MinHash.
+def _bands(low: Column) -> Column:
+    """Band names of a MinHash signature, the ``LOW`` least hashes of the line's shingles: each two neighbours make a band.
 
-    Hashes fall into 16 bins by their leading bits and the least of each bin is its minimum, so in the sorted array it is
-    the first of its bin. Two bins make a band, named by its minima; bands without any are left out. Lines of similarity
-    0.8 share a band with a chance of 1 - (1 - 0.64) ** 8 = 0.9997.
+    Two lines share a band if two neighbours of the least hashes of both together belong to both. At similarity 0.8 each
+    does with a chance of 0.8, so that some two do has a chance of 0.996. A single shingle is a band of its own.
     """
-    firsts = F.filter(grams, lambda x, i: (i == 0) | (F.shiftright(x, 60) != F.shiftright(F.get(grams, i - 1), 60)))
-    band = F.transform(F.sequence(F.lit(-4), F.lit(3)), lambda b: F.filter(firsts, lambda x: F.shiftright(x, 61) == b))
-    return F.transform(F.filter(band, lambda a: F.size(a) > 0), lambda a: F.xxhash64(F.shiftright(a[0], 61), a))
+    pairs = F.transform(F.slice(low, F.lit(1), F.size(low) - 1), lambda x, i: F.xxhash64(x, F.get(low, i + 1)))
+    return F.when(F.size(low) > 1, pairs).otherwise(F.transform(low, lambda x: F.xxhash64(x)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, line_no, line, node) for all lines; node names the trimmed line, null where it is blank."""
     split = docs.select("doc_id", "uid", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    line = F.regexp_replace("line", r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    line = F.expr(r"btrim(line, ' \t\u000b\f\r')")
     return split.withColumn("line", line).withColumn("node", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
+def _thinned(lines: DataFrame, need: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 23) -> DataFrame:
+    """Lines whose node is in ``need``, and a few others, by a Bloom filter in plain columns.
+
+    Tasks combine the bits of each filter byte; the filter, 1 MB at most, comes back as a literal of the plan. Where it is too
+    small more lines pass. It thins the lines before a join, which stays exact.
+    """
+    bits, n = 1 << 13, need.count()
+    while bits < n * bits_per_row and bits < max_bits:
+        bits *= 2
+    places = [F.col("node").bitwiseAND(bits - 1), F.shiftrightunsigned("node", 32).bitwiseAND(bits - 1)]
+    at = need.select(F.explode(F.array(*places)).alias("at"))
+    filled = at.groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("set"))
+    plane = bytearray(bits // 8)
+    for row in filled.toLocalIterator():
+        plane[row["byte"]] = row["set"]
+
+    def held(place: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.lit(bytes(plane)), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+
+    named = lines.select("line", F.explode(F.array("node")).alias("node"))  # so that the name is made once, not in every condition
+    return named.filter(F.col("node").isNotNull()).filter(held(places[0]) & held(places[1]))
+
+
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_lines (numbers of the lines that stay, from 0).
 
@@ -43,45 +77,49 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     document with the smallest doc_id (nulls first), of its rows the first read, there the first line. A null or empty text has
     no lines. Documents with the same doc_id are separate rows.
 
-    Equal lines become one node. Nodes that share a band (see ``_bands``) are candidates; each is tested against the band's
-    central node, then what still lies in several components is searched by rarest shingles, so that no band of many lines is
+    Equal lines become one node. Nodes that share a band (see ``_bands``) are candidates; each is tested against the
+    central node of every band it has, the one that shares most with others, and against one drawn by hash; where the band's other nodes then still lie in several
+    components, the rest is searched by rarest shingles, so that no band of many lines is
     paired out, and every pair is verified by exact Jaccard. Components come from distributed union-find.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     source = pick(docs, "doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
-    words = F.array_remove(F.split("line", GAP), "")
-    some = _lines(source).withColumn("words", F.when(F.col("node").isNotNull(), words))
-    grams = some.withColumn("grams", F.when(F.col("node").isNotNull(), _shingles(F.col("words"), F.col("line")))).drop("words", "line")
-    signed = scratch.save(grams.withColumn("bands", _bands(F.col("grams"))).drop("grams"), "signed")
+    some = _lines(source).withColumn("words", F.when(F.col("node").isNotNull(), _words(F.col("line"))))
+    low = F.when(F.col("node").isNotNull(), F.slice(_shingles(F.col("words"), F.col("line")), 1, LOW))
+    signed = scratch.save(some.withColumn("low", low).drop("words", "line").withColumn("bands", _bands(F.col("low"))).drop("low"), "signed")
 
     named = signed.select(F.explode("bands").alias("key"), "node")
     repeated = named.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
     held = scratch.save(named.join(scratch.save(repeated, "repeated"), "key").distinct(), "held")
-    central = held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = held.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
-    centre = scratch.save(centre, "centre")
-    stars = scratch.save(held.join(centre, "key").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-
-    need = signed.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
-    need = scratch.save(need, "need")
-    chosen = pick(docs, "doc_id", "text").join(need.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    wanted = _lines(chosen.withColumn("uid", F.lit(0).cast("long"))).join(need.select("node"), "node", "left_semi")
-    cut = wanted.withColumn("words", words).select("node", _shingles(F.col("words"), F.col("line")).alias("grams"))
-    sets = cut.select("node", F.size("grams").cast("long").alias("n"), F.lit(0).alias("fragment"), "grams").dropDuplicates(["node"])
-    sets = scratch.save(sets, "sets")
+    sizes = held.groupBy("key").agg(F.count("*").alias("size"))
+    weight = held.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    drawn = F.max(F.struct(F.xxhash64("key", "node").alias("draw"), "node"))["node"].alias("drawn")
+    centre = held.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"), drawn)
+    met = scratch.save(held.join(centre, "key").filter("node <> centre"), "met")
+    tests = met.select("node", F.explode(F.array("centre", "drawn")).alias("centre")).filter("node <> centre")
+    stars = scratch.save(tests.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "stars")
+
+    need = scratch.save(held.select("node").distinct(), "need")
+    lines = _lines(pick(docs, "doc_id", "text").withColumn("uid", F.lit(0).cast("long"))).select("node", "line")
+    wanted = _thinned(lines, need).join(need, "node", "left_semi").dropDuplicates(["node"])
+    cut = wanted.withColumn("words", _words(F.col("line"))).select("node", _shingles(F.col("words"), F.col("line")).alias("grams"))
+    sets = scratch.save(cut.select("node", F.size("grams").cast("long").alias("n"), F.lit(0).alias("fragment"), "grams"), "sets")
 
     first = scratch.save(_linked(stars, sets, percent), "first")
     joined = scratch.save(components(first, scratch, "one"), "joined")
-    placed = scratch.save(held.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    placed = scratch.save(met.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     active = placed.join(mixed, "key", "left_semi").select("node", "component").distinct()
     second = _linked(scratch.save(_rare_pairs(scratch.save(sets.join(active, "node"), "active"), percent), "pairs"), sets, percent)
-    final = scratch.save(components(first.union(second), scratch, "two"), "final")
+    known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = scratch.save(components(known.union(second), scratch, "two"), "final")
 
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "line_no")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"))
     kept = nodes.join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.groupBy("first.uid").agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
+    kept = scratch.save(kept, "kept")
+    scratch.drop("repeated", "held", "met", "stars", "need", "sets", "first", "joined", "placed", "active", "pairs", "final")
     every = signed.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.count("node").alias("n_lines"))
     return every.join(kept, "uid", "left").select(
         "doc_id",
