@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bloom
 from .bloom import drop_some, keep_some
 from .common import Scratch, apart, components, pick
 from .hashing import mix, shingles, word_hashes
@@ -130,6 +131,15 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "gram").filter((F.col("ca") < F.col("cb")) & enough).select("a", "b").distinct()
 
 
+def _maybe_repeated(named: DataFrame, signed: DataFrame, bits_per_key: int = 8, max_bits: int = 1 << 29) -> DataFrame:
+    """Names of fragments (key, node) that may occur twice, by a Bloom filter of bits set twice: about one in twenty of those
+    that occur once pass too. The filter takes 64 MB at most; where that is too small more names are shuffled and the
+    result is the same."""
+    n = signed.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bits = bloom.size_for(n, bits_per_key, max_bits)
+    return bloom.mark(named, "key", bloom.fill(named.select("key"), bits, least=2), bits).filter("maybe").drop("maybe")
+
+
 def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -148,6 +158,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     source = pick(docs, "doc_id", "text")
     signed = scratch.save(source.mapInArrow(_signed(width, percent), "doc_id long, node long, n long, keys array<long>"), "signed")
     named = signed.select(F.explode("keys").alias("key"), "node")
+    named = _maybe_repeated(named, signed)
     repeated = named.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
     held = scratch.save(named.join(repeated, "key").distinct(), "held")
     nodes = scratch.save(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
