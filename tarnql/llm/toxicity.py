@@ -72,14 +72,19 @@ def _fit(epochs: int, rate: float, shrink: float, least_gain: float):
     """In one task: labelled texts (label, text) to a model, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, docs, sentences, marks = [], [], [], []
+        labels, docs, sentences, marks, seen = [], [], [], [], [np.zeros(BUCKETS), np.zeros(BUCKETS)]
         for batch in batches:
             for first, rows, doc, sentence, word, feature in sentence_words(batch.column(1)):
                 at = _distinct(doc, sentence, word)
-                docs.append(doc[at] + len(labels))
-                sentences.append(sentence[at])
+                own = batch.column(0).slice(first, rows).to_pylist()
+                pairs = np.unique(np.repeat(doc[at], feature.shape[1]) * BUCKETS + feature[at].ravel())
+                for k in (0, 1):
+                    bucket, n = np.unique(pairs[np.array(own)[pairs // BUCKETS] == k] % BUCKETS, return_counts=True)
+                    seen[k][bucket] += n
+                docs.append((doc[at] + len(labels)).astype(np.int32))
+                sentences.append(sentence[at].astype(np.int32))
                 marks.append(feature[at])
-                labels += batch.column(0).to_pylist()[first : first + rows]
+                labels += own
         y = np.array(labels, float)
         if not docs or y.min(initial=1) == y.max(initial=0):
             return
@@ -89,8 +94,6 @@ def _fit(epochs: int, rate: float, shrink: float, least_gain: float):
         row = np.cumsum(new) - 1
         owner = doc[new]
         # Only buckets seen in significantly more of the toxic documents are kept (log-likelihood ratio).
-        pairs = np.unique(np.repeat(doc, mark.shape[1]).astype(np.int64) * BUCKETS + mark.ravel())
-        seen = [np.bincount(pairs[y[pairs // BUCKETS] == k] % BUCKETS, minlength=BUCKETS).astype(float) for k in (0, 1)]
         size = [float((y == k).sum()) for k in (0, 1)]
         both = seen[0] + seen[1]
         gain = np.zeros(BUCKETS)
@@ -154,8 +157,12 @@ class Model:
 
 
 def _score(shared):
+    made: list[Model] = []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
+        if not made:
+            made.append(Model(shared.value))
+        model = made[0]
         for batch in batches:
             n = batch.num_rows
             score, worst, where = np.zeros(n), np.zeros(n), np.full(n, -1)
@@ -176,7 +183,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 3000, epochs: int = 200, rate: float = 0.3, shrink: float = 1e-4, least_gain: float = 15.0) -> bytes | None:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 2000, epochs: int = 200, rate: float = 0.3, shrink: float = 1e-4, least_gain: float = 15.0) -> bytes | None:
     """A model from at most ``per_label`` labelled documents of either label, the first by a hash of doc_id, whole texts.
 
     Held-out rows take no part. The sample is gathered in one task, which fits the weights by AdaGrad; only they
@@ -234,10 +241,12 @@ def toxic_sentences(docs: DataFrame, model: bytes | None, least: float = 0.5) ->
 def _clean(shared, at: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _score(shared)
-        for batch in batches:
-            texts = pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at)], ["doc_id", "text"])
-            for scored in score(iter([texts])):
-                yield batch.filter(pa.array(scored.column(1).to_numpy() < threshold))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                texts = pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at)], ["doc_id", "text"])
+                for scored in score(iter([texts])):
+                    yield batch.filter(pa.array(scored.column(1).to_numpy() < threshold))
 
     return run
 
