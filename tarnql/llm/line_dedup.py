@@ -5,37 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, Scratch, components, pick
-from .ngram_join import _linked, _rare_pairs
+from .common import Scratch, components, pick
+from .ngram_join import _rare_pairs
 
 
-#: Least hashes of a line that make its signature.
-LOW = 9
+#: Characters of a shingle.
+WIDTH = 5
+#: Bands of a line of fewer shingles than ``SHORT``, and of one of ``LONG`` or more, each of so many minima: (minima, bands).
+#: At similarity 0.8 a minimum agrees with a chance of 0.8, so that no band does has a chance of 0.0002, or of 0.0004.
+SHORT, LONG = 160, 128
+FEW, MANY = (4, 16), (6, 26)
+#: Lines of a band that are still paired out after the tests against two of them.
+PAIRED = 16
 
 
-def _words(line: Column) -> Column:
-    """The words of a line. Most lines have single blanks only and need no regular expression."""
-    odd = F.lit(False)
-    for c in ("\t", "\x0b", "\x0c", "\r", "  "):
-        odd = odd | F.contains(line, F.lit(c))
-    return F.when(odd, F.array_remove(F.split(line, GAP), "")).otherwise(F.split(line, " "))
+def _let(value: Column, made) -> Column:
+    """``made`` of a value that is worked out once a row, also where lambdas ask for it at every element."""
+    return F.transform(F.array(value), made)[0]
 
 
-def _shingles(words: Column, line: Column) -> Column:
-    """Sorted distinct hashes of the character shingles of a line: from the start of each word up to the fourth character
-    of the second word after it. A line of fewer than three words is one shingle."""
-    runs = F.transform(F.slice(words, F.lit(1), F.size(words) - 2), lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.substring(F.get(words, i + 2), 1, 4)))
-    return F.sort_array(F.array_distinct(F.when(F.size(words) >= 3, runs).otherwise(F.array(F.xxhash64(line)))))
+def _shingles(line: Column) -> Column:
+    """Distinct hashes of the character shingles of a line, one at every code point; a shorter line is one shingle.
 
+    Characters are found by walking, so a line is taken in runs of 64 places, or the root of its length.
+    """
+    step = F.greatest(F.lit(64), F.ceil(F.sqrt(F.length(line))).cast("int"))
+    runs = F.transform(F.sequence(F.lit(1), F.length(line) - (WIDTH - 1), step), lambda at: F.substring(line, at, step + (WIDTH - 1)))
+    each = F.transform(runs, lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - (WIDTH - 1)), lambda i: F.xxhash64(F.substring(run, i, F.lit(WIDTH)))))
+    return F.array_distinct(F.when(F.length(line) >= WIDTH, F.flatten(each)).otherwise(F.array(F.xxhash64(line))))
 
-def _bands(low: Column) -> Column:
-    """Band names of a MinHash signature, the ``LOW`` least hashes of the line's shingles: each two neighbours make a band.
 
-    Two lines share a band if two neighbours of the least hashes of both together belong to both. At similarity 0.8 each
-    does with a chance of 0.8, so that some two do has a chance of 0.996. A single shingle is a band of its own.
-    """
-    pairs = F.transform(F.slice(low, F.lit(1), F.size(low) - 1), lambda x, i: F.xxhash64(x, F.get(low, i + 1)))
-    return F.when(F.size(low) > 1, pairs).otherwise(F.transform(low, lambda x: F.xxhash64(x)))
+def _sketch(grams: Column, minima: int, bands: int) -> Column:
+    """Band names of sorted hashes. Their range is cut into ``bands`` parts of ``minima`` bins; a band is named by the least
+    hash of each of its bins, and has no name if all are empty."""
+
+    def place(x: Column, parts: int) -> Column:
+        return F.shiftright(F.shiftright(x, 32) * parts, 32)
+
+    def named(low: Column) -> Column:
+        def band(x: Column, i: Column) -> Column:
+            own = place(x, bands)
+            more = [F.when(place(F.get(low, i + j), bands) == own, F.get(low, i + j)) for j in range(1, minima)]
+            return F.when((i == 0) | (place(F.get(low, i - 1), bands) != own), F.xxhash64(F.lit(bands), x, *more))
+
+        return F.array_compact(F.transform(low, band))
+
+    return _let(F.filter(grams, lambda x, i: (i == 0) | (place(F.get(grams, i - 1), minima * bands) != place(x, minima * bands))), named)
+
+
+def _bands(grams: Column) -> Column:
+    """Band names of a line's sorted shingles. Lines at 0.8 differ in size by a quarter at most: two of them always have one way of
+    banding in common."""
+    none = F.array().cast("array<bigint>")
+    few = F.when(F.size(grams) < SHORT, _sketch(grams, *FEW)).otherwise(none)
+    return F.concat(few, F.when(F.size(grams) >= LONG, _sketch(grams, *MANY)).otherwise(none))
+
+
+def _alike(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link. Lines are shuffled, not their shingles, which take eight times as much."""
+    both = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+    sets = both.select("a", "b", _shingles(F.col("la")).alias("ga"), _shingles(F.col("lb")).alias("gb"))
+    sized = sets.select("a", "b", (F.size("ga") + F.size("gb")).alias("sum"), F.size(F.array_intersect("ga", "gb")).alias("same"))
+    return sized.filter(100 * F.col("same") >= percent * (F.col("sum") - F.col("same"))).select("a", "b")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -77,40 +108,48 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     document with the smallest doc_id (nulls first), of its rows the first read, there the first line. A null or empty text has
     no lines. Documents with the same doc_id are separate rows.
 
-    Equal lines become one node. Nodes that share a band (see ``_bands``) are candidates; each is tested against the
-    central node of every band it has, the one that shares most with others, and against one drawn by hash; where the band's other nodes then still lie in several
-    components, the rest is searched by rarest shingles, so that no band of many lines is
-    paired out, and every pair is verified by exact Jaccard. Components come from distributed union-find.
+    Equal lines become one node. Nodes that share a band (see ``_sketch``) are candidates; each is tested against the
+    central node of every band it has, the one that shares most with others, and against one drawn by hash. Where the band's
+    other nodes then still lie in several components, they are paired out if they are ``PAIRED`` at most; else the rest is
+    searched by rarest shingles, so that no band of many lines is paired out. Every pair is verified by exact Jaccard.
+    Components come from distributed union-find.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     source = pick(docs, "doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
-    some = _lines(source).withColumn("words", F.when(F.col("node").isNotNull(), _words(F.col("line"))))
-    low = F.when(F.col("node").isNotNull(), F.slice(_shingles(F.col("words"), F.col("line")), 1, LOW))
-    signed = scratch.save(some.withColumn("low", low).drop("words", "line").withColumn("bands", _bands(F.col("low"))).drop("low"), "signed")
+    some = _lines(source).withColumn("grams", F.when(F.col("node").isNotNull(), F.sort_array(_shingles(F.col("line")))))
+    sketched = F.when(F.col("node").isNotNull(), _let(F.col("grams"), _bands))
+    signed = scratch.save(some.select("doc_id", "uid", "line_no", "node", F.size("grams").alias("n"), sketched.alias("bands")), "signed")
 
-    named = signed.select(F.explode("bands").alias("key"), "node")
+    near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    named = signed.select(F.explode("bands").alias("key"), "node", "n")
     repeated = named.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
     held = scratch.save(named.join(scratch.save(repeated, "repeated"), "key").distinct(), "held")
     sizes = held.groupBy("key").agg(F.count("*").alias("size"))
     weight = held.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    drawn = F.max(F.struct(F.xxhash64("key", "node").alias("draw"), "node"))["node"].alias("drawn")
-    centre = held.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"), drawn)
-    met = scratch.save(held.join(centre, "key").filter("node <> centre"), "met")
-    tests = met.select("node", F.explode(F.array("centre", "drawn")).alias("centre")).filter("node <> centre")
-    stars = scratch.save(tests.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "stars")
-
-    need = scratch.save(held.select("node").distinct(), "need")
+    drawn = F.max(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n")).alias("drawn")
+    centre = held.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("centre"), drawn)
+    two = F.array(*[F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.n").alias("n")) for c in ("centre", "drawn")])
+    met = scratch.save(held.join(centre.select("key", two.alias("two")), "key").filter("node <> two[0].node"), "met")
+    tests = met.select("node", "n", F.explode("two").alias("other")).select("node", "n", F.col("other.node").alias("other"), F.col("other.n").alias("m")).filter(near & F.expr("node <> other"))
+    stars = scratch.save(tests.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct(), "stars")
+    left = met.filter("node <> two[1].node").select("key", "node", "n")
+
+    need = scratch.save(stars.select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct(), "need")
     lines = _lines(pick(docs, "doc_id", "text").withColumn("uid", F.lit(0).cast("long"))).select("node", "line")
-    wanted = _thinned(lines, need).join(need, "node", "left_semi").dropDuplicates(["node"])
-    cut = wanted.withColumn("words", _words(F.col("line"))).select("node", _shingles(F.col("words"), F.col("line")).alias("grams"))
-    sets = scratch.save(cut.select("node", F.size("grams").cast("long").alias("n"), F.lit(0).alias("fragment"), "grams"), "sets")
+    lines = scratch.save(_thinned(lines, need).join(need, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
-    first = scratch.save(_linked(stars, sets, percent), "first")
+    first = scratch.save(_alike(stars, lines, percent), "first")
     joined = scratch.save(components(first, scratch, "one"), "joined")
-    placed = scratch.save(met.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    active = placed.join(mixed, "key", "left_semi").select("node", "component").distinct()
-    second = _linked(scratch.save(_rare_pairs(scratch.save(sets.join(active, "node"), "active"), percent), "pairs"), sets, percent)
+    placed = scratch.save(left.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
+    mixed = scratch.save(mixed.select("key", "size"), "mixed")
+    some = placed.join(mixed.filter(F.col("size") <= PAIRED).select("key"), "key")
+    other = some.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
+    small = some.join(other, "key").filter((F.col("component") < F.col("cb")) & near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    active = placed.join(mixed.filter(F.col("size") > PAIRED).select("key"), "key", "left_semi").select("node", "component").distinct()
+    sets = lines.join(active, "node").select("node", "component", _shingles(F.col("line")).alias("grams")).withColumn("n", F.size("grams").cast("long"))
+    large = _rare_pairs(scratch.save(sets, "active"), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = _alike(scratch.save(small.union(large).distinct(), "pairs"), lines, percent)
     known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = scratch.save(components(known.union(second), scratch, "two"), "final")
 
@@ -119,7 +158,7 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = nodes.join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.groupBy("first.uid").agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
     kept = scratch.save(kept, "kept")
-    scratch.drop("repeated", "held", "met", "stars", "need", "sets", "first", "joined", "placed", "active", "pairs", "final")
+    scratch.drop("repeated", "held", "met", "stars", "need", "texts", "first", "joined", "placed", "mixed", "active", "pairs", "final")
     every = signed.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.count("node").alias("n_lines"))
     return every.join(kept, "uid", "left").select(
         "doc_id",
