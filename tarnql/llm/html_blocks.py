@@ -13,6 +13,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 #: No text of theirs is shown.
 HIDDEN = set("script style template noscript head title textarea select datalist svg math iframe object canvas audio video noembed noframes xmp".split())
+#: What may stand in a head. Any other element, and text, ends a head that is still open.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An opening tag ends these, unless one of the barriers lies between.
 ENDED_BY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
@@ -63,7 +65,13 @@ def blocks(page: str) -> list[Block]:
         hidden -= sum(tag in HIDDEN for tag, _ in stack[upto:])
         del stack[upto:]
 
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            close(len(stack) - 1)
+
     for m in iter(lambda: _MARKUP.search(page, at), None):
+        if hidden and page[at : m.start()].strip():
+            end_head()
         if m.start() > at and not hidden:
             piece = page[at : m.start()]
             text.append(piece)
@@ -73,6 +81,8 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if hidden and not m[1] and tag not in IN_HEAD:
+            end_head()
         if tag == "a":
             links = 0 if m[1] else 1
             continue
@@ -114,6 +124,8 @@ def blocks(page: str) -> list[Block]:
             continue
         stack.append((tag, path_tokens(tag, m[3])))
         hidden += hides
+    if hidden and page[at:].strip():
+        end_head()
     if not hidden:
         text.append(page[at:])
     flush()
