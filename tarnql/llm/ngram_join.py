@@ -72,8 +72,8 @@ def _signed(width: int, percent: int):
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "node", "n", "keys"],
+                [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *batch.columns[2:]],
+                ["doc_id", "node", "n", "keys", *batch.schema.names[2:]],
             )
 
     return run
@@ -140,7 +140,12 @@ def _maybe_repeated(named: DataFrame, signed: DataFrame, bits_per_key: int = 8,
     return bloom.mark(named, "key", bloom.fill(named.select("key"), bits, least=2), bits).filter("maybe").drop("maybe")
 
 
-def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int = 4) -> DataFrame:
+def _row():
+    """A 64-bit name of doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int = 4, carry_row: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A set is the distinct ``width``-word shingles of the text with A-Z lower-cased; of fewer words the whole
@@ -152,11 +157,14 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     each is tested against the most central node it meets, the one that shares most with others, which joins most of a
     group of near copies without pairing its members. 3. Only where a fragment's nodes then still lie in several components, the rest is
     searched by rarest n-grams, across components only. Pairs within a component need no test. No pair that
-    links is missed, and no group is capped. N-grams are 64-bit hashes; sets are named by 64 bits.
+    links is missed, and no group is capped. N-grams are 64-bit hashes; sets are named by 64 bits. ``carry_row`` adds
+    ``row``, the name of doc_id and text together.
     """
     scratch = Scratch(docs.sparkSession, "ngrams")
     source = pick(docs, "doc_id", "text")
-    signed = scratch.save(source.mapInArrow(_signed(width, percent), "doc_id long, node long, n long, keys array<long>"), "signed")
+    wide = source.withColumn("row", _row()) if carry_row else source
+    kinds = "doc_id long, node long, n long, keys array<long>" + ", row long" * carry_row
+    signed = scratch.save(wide.mapInArrow(_signed(width, percent), kinds), "signed")
     named = signed.select(F.explode("keys").alias("key"), "node")
     named = _maybe_repeated(named, signed)
     repeated = named.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
@@ -188,13 +196,16 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     known = scratch.save(labelled.join(ids, "component").select("node", "component_id"), "known")
     scratch.drop("held", "need", "fragments", "centre", "first", "joined", "placed", "sets", "pairs", "final")
     return signed.join(known, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *["row"] * carry_row
     )
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose doc_id is the least of their component, with the columns of ``docs``. A null doc_id stays."""
+    """The documents whose doc_id is the least of their component, with the columns of ``docs``. A null doc_id stays.
+
+    Rows are judged one by one: of two texts with the same doc_id one may go and the other stay.
+    """
     scratch = Scratch(docs.sparkSession, "one")
-    copies = ngram_join(docs, **options).filter("doc_id <> component_id").select("doc_id").distinct()
-    docs, back = apart(docs, "doc_id")
-    return back(drop_some(docs, "doc_id", scratch.save(copies, "copies")))
+    copies = ngram_join(docs, carry_row=True, **options).filter("doc_id <> component_id").select("row").distinct()
+    docs, back = apart(docs, "doc_id", "text")
+    return back(drop_some(docs.withColumn("row", _row()), "row", scratch.save(copies, "copies")))
