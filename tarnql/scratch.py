@@ -9,31 +9,69 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of tables that this process has made and not yet removed.
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests, one machine) below a temporary
-    folder, which is removed when Python ends."""
+    """A new path below ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves, on one machine only: on a cluster every machine would have its own, so
+    there it is an error. The temporary folder is removed when Python ends.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="scratch-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes every table that this process has written to the shared folder, and says how many folders there were.
+
+    Call it when the results of earlier operators have been written or read: a DataFrame that an operator returned reads
+    such tables, and fails after this.
+    """
+    n = len(_made)
+    while _made:
+        _delete(spark, _made.pop())
+    return n
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clean(spark)
+    for path in _made:
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 class Scratch:
-    """Tables written once to a shared folder, which cuts lineage: a lost executor costs a re-read, not a re-run."""
+    """Tables written once to a shared folder, which cuts lineage: a lost executor costs a re-read, not a re-run.
+
+    They stay until ``drop``, ``clean`` or the end of the process that made them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, shared_folder(spark, name)
+        _made.append(self.path)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes and reads again, in a folder for each value of ``by`` if that is given."""
         schema = df.schema
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(self.spark, f"{self.path}/{name}")
