@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a slice, the unit in which tasks report what they have seen.
@@ -49,8 +50,6 @@ def _merge(least: int):
     """The bits of one slice that were set ``least`` times or more, over all tasks."""
 
     def run(pdf):
-        import pandas as pd
-
         n = np.zeros(SLICE, np.int64)
         for once in pdf["once"]:
             n[np.frombuffer(once, "<u2")] += 1
@@ -79,32 +78,21 @@ def fill(prints: DataFrame, bits: int, least: int = 1, tasks: int = 256) -> byte
     return plane.tobytes()
 
 
-def _marked(shared, bits: int, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plane = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            held = holds(plane, b.column(at).to_numpy(zero_copy_only=False), bits)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held)], [*b.schema.names, "maybe"])
-
-    return run
+def _maybe(spark: SparkSession, plane: bytes, bits: int):
+    """A function of a column of 64-bit fingerprints: whether the filter may hold them. Only that column goes to Python; the
+    row waits in the JVM."""
+    shared = spark.sparkContext.broadcast(plane)
 
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(holds(np.frombuffer(shared.value, np.uint8), h.to_numpy(), bits))
 
-def _among(shared, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plane = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            held = holds(plane, b.column(b.num_columns - 1).to_numpy(zero_copy_only=False), bits)
-            if held.any():
-                yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(held))
-
-    return run
+    return maybe
 
 
 def mark(df: DataFrame, column: str, plane: bytes, bits: int) -> DataFrame:
-    """Adds ``maybe``: whether the filter may hold the row's fingerprint, a column of 64-bit integers."""
-    shared = df.sparkSession.sparkContext.broadcast(plane)
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
-    return df.mapInArrow(_marked(shared, bits, df.columns.index(column)), f"{kinds}, maybe boolean")
+    """Adds ``maybe``: whether the filter may hold the row's fingerprint, a column of 64-bit integers without nulls."""
+    return df.withColumn("maybe", _maybe(df.sparkSession, plane, bits)(F.col(column)))
 
 
 def keep_some(df: DataFrame, key: Column, others: DataFrame, other_key: Column, bits_per_row: int = 16, max_bits: int = 1 << 27) -> DataFrame:
@@ -114,16 +102,13 @@ def keep_some(df: DataFrame, key: Column, others: DataFrame, other_key: Column,
     where that is too small for ``others`` more rows pass, and the join after it stays exact.
     """
     bits = size_for(others.count(), bits_per_row, max_bits)
-    shared = df.sparkSession.sparkContext.broadcast(fill(others.select(other_key.alias("h")), bits))
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
-    return df.withColumn("_h", key).mapInArrow(_among(shared, bits), kinds)
+    return df.filter(_maybe(df.sparkSession, fill(others.select(other_key.alias("h")), bits), bits)(key))
 
 
 def drop_some(df: DataFrame, column: str, dropped: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 27) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is not in the one column of ``dropped``; only rows that the filter may hold are joined."""
+    """Rows of ``df`` whose ``column``, a 64-bit hash, is not in the one column of ``dropped``; only rows that the filter may hold are joined."""
     bits = size_for(dropped.count(), bits_per_row, max_bits)
-    plane = fill(dropped.select(F.xxhash64(dropped.columns[0]).alias("h")), bits)
-    marked = mark(df.withColumn("_h", F.xxhash64(column)), "_h", plane, bits)
+    marked = mark(df, column, fill(dropped, bits), bits)
     others = dropped.select(F.col(dropped.columns[0]).alias("_key"))
     some = marked.filter("maybe").join(others, F.col(column) == F.col("_key"), "left_anti")
     return marked.filter("not maybe").select(*df.columns).union(some.select(*df.columns))

@@ -45,6 +45,11 @@ def apart(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame],
     return df.toDF(*inner), lambda made: made.select(*inner).toDF(*have)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """A 64-bit name of everything in a row; maps, which do not hash, as text."""
+    return F.xxhash64(*[F.col(f.name).cast("string") if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields])
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

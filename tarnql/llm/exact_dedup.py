@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Scratch, apart, pick
+from .bloom import drop_some, keep_some
+from .common import Scratch, apart, pick, whole_row
 
 #: A group holding more than this share of all rows is joined by broadcast: there are at most that many thousand.
 HOT_SHARE = 1000
@@ -16,6 +17,24 @@ def _sha() -> Column:
     return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
 
 
+def _flagged(prints: DataFrame, n: int, scratch: Scratch, bits_per_row: int, max_bits: int) -> DataFrame:
+    """Adds ``maybe`` to narrow rows with a column ``sha``: whether another row may have the same, by filters of bits set twice."""
+    spark = prints.sparkSession
+    rounds = max(1, -(-n * bits_per_row // max_bits))
+    bits = bloom.size_for(-(-n // rounds), bits_per_row, max_bits)
+    prints = prints.withColumn("h", F.xxhash64("sha")).withColumn("round", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(rounds)).cast("int"))
+    at = f"{scratch.path}/prints"
+    (prints.write.partitionBy("round") if rounds > 1 else prints.write).parquet(at)
+    prints = spark.read.schema(prints.schema).parquet(at)
+    flagged = None
+    for r in range(rounds):
+        own = prints.filter(F.col("round") == r).drop("round")
+        twice = bloom.fill(own.select("h"), bits, least=2)
+        tested = scratch.save(bloom.mark(own, "h", twice, bits), f"tested-{r}")
+        flagged = tested if flagged is None else flagged.union(tested)
+    return flagged
+
+
 def exact_dedup(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -31,26 +50,10 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30
     are grouped by their SHA-256, which makes the result exact. Groups of over a thousandth of all rows, of
     which there can be a thousand at most, meet their rows by broadcast, so none of them gathers in one task.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
+    scratch = Scratch(docs.sparkSession, "exact")
     n = docs.count()
-    rounds = max(1, -(-n * bits_per_row // max_bits))
-    bits = bloom.size_for(-(-n // rounds), bits_per_row, max_bits)
-    prints = (
-        pick(docs, "doc_id", "text")
-        .select("doc_id", _sha().alias("sha"))
-        .select("doc_id", "sha", F.xxhash64("sha").alias("h"), F.monotonically_increasing_id().alias("uid"))
-        .withColumn("round", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(rounds)).cast("int"))
-    )
-    at = f"{scratch.path}/prints"
-    (prints.write.partitionBy("round") if rounds > 1 else prints.write).parquet(at)
-    prints = spark.read.schema(prints.schema).parquet(at)
-    flagged = None
-    for r in range(rounds):
-        own = prints.filter(F.col("round") == r).drop("round")
-        twice = bloom.fill(own.select("h"), bits, least=2)
-        tested = scratch.save(bloom.mark(own, "h", twice, bits), f"tested-{r}")
-        flagged = tested if flagged is None else flagged.union(tested)
+    prints = pick(docs, "doc_id", "text").select("doc_id", _sha().alias("sha"), F.monotonically_increasing_id().alias("uid"))
+    flagged = _flagged(prints, n, scratch, bits_per_row, max_bits)
     alone = flagged.filter("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
@@ -66,23 +69,23 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30
 
 
 def distinct_documents(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
-    """The rows that ``exact_dedup`` keeps, with the columns of ``docs``.
+    """One row of each text, with the columns of ``docs``: of equal texts the row with the largest doc_id stays (null ranks lowest).
+
+    Of rows that share text and doc_id the one with the largest hash of all its columns stays; of rows equal in every column, one. Null
+    texts count as empty, and are a group with them; extra columns, maps or clashing names among them, are carried along. An empty table gives an empty result.
 
-    Rows that the filter shows to be unique pass through with their texts unshuffled; of the others one row per text is
-    aggregated, so copies are combined before they are shuffled. Where the table needs several rounds the kept
-    keys are joined instead.
+    Which rows go is worked out as in ``exact_dedup``, on rows of hashes; texts are then read again, and those of rows that the
+    filter shows to stay pass through unshuffled.
     """
+    scratch = Scratch(docs.sparkSession, "distinct")
     docs, back = apart(docs, "doc_id", "text")
-    n = docs.count()
-    if n * bits_per_row > max_bits:
-        kept = exact_dedup(docs, bits_per_row, max_bits).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha"))
-        return back(docs.withColumn("_s", _sha()).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_s"]))
-    bits = bloom.size_for(n, bits_per_row, max_bits)
-    printed = docs.withColumn("_h", F.xxhash64(_sha()))
-    twice = bloom.fill(printed.select("_h"), bits, least=2)
-    marked = bloom.mark(printed, "_h", twice, bits)
-    again = marked.filter("maybe").withColumn("_sha", _sha())
-    whole = F.struct("doc_id", *[c for c in docs.columns if c != "doc_id"])
-    top = again.groupBy("_sha").agg(F.max(whole).alias("top")).select(*[F.col("top")[c].alias(c) for c in docs.columns])
-    return back(marked.filter("not maybe").select(*docs.columns).union(top))
+    docs = docs.withColumn("_row", whole_row(docs))
+    flagged = _flagged(docs.select("doc_id", _sha().alias("sha"), "_row"), docs.count(), scratch, bits_per_row, max_bits)
+    rows = scratch.save(flagged.filter("maybe").groupBy("sha", "_row").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n")), "rows")
+    tops = rows.groupBy("sha").agg(F.max(F.struct("doc_id", "_row"))["_row"].alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
+    losers = rows.join(scratch.save(tops, "tops"), "sha").filter("_row <> top").select("_row")
+    again = scratch.save(rows.filter("n > 1").select("_row").join(losers, "_row", "left_anti"), "again")
+    gone = scratch.save(losers.union(again), "gone")
+    stay = drop_some(docs, "_row", gone)
+    twins = keep_some(docs, F.col("_row"), again, F.col("_row")).join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return back(stay.select(*docs.columns).union(twins.select(*docs.columns)))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def tidy(run: Callable) -> Callable:
+    """The same work on batches; when a task's input ends, memory that its worker holds for nothing goes back to the system."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _powers.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return whole
+
+
 def word_hashes(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets, hashes) for runs of rows: words offsets[i] to offsets[i + 1] are those of row first + i.
 
