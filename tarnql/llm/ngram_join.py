@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 from . import bloom
 from .bloom import drop_some, keep_some
 from .common import Scratch, apart, components, pick
-from .hashing import mix, shingles, word_hashes
+from .hashing import mix, shingles, tidy, word_hashes
 
-#: Size classes: the least size of each.
-CLASSES = [1]
-while CLASSES[-1] < 1 << 40:
-    CLASSES.append(max(CLASSES[-1] + 1, -(-CLASSES[-1] * 5 // 4)))
-_CLASSES = np.array(CLASSES)
+
+_classes: dict[int, np.ndarray] = {}
+
+
+def classes(percent: int) -> np.ndarray:
+    """The least size of each size class. Sets link with at most the next class; each is as wide as keeps fragment names fewest."""
+    if percent not in _classes:
+        least, grow = [1], min(percent, 95) ** 2
+        while least[-1] < 1 << 40:
+            least.append(max(least[-1] + 1, -(-least[-1] * 10000 // grow)))
+        _classes[percent] = np.array(least)
+    return _classes[percent]
+
+
+#: Sets that share a fragment are paired out if they are so many at most; larger groups are searched by rarest n-grams.
+PAIRED = 16
 
 
 def _node(grams: np.ndarray) -> int:
@@ -30,28 +41,30 @@ def fragment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     """Names of the fragments of a set (sorted hashes): linked sets share one at least.
 
     Sets x and y that link differ in at most h = (|x| + |y|) (100 - percent) / (100 + percent) n-grams. The global
-    order of n-grams, that of their hashes, is cut into h + 2 fragments, h taken for the largest sizes of the class,
-    so two fragments at least are the same in both. A set takes part in its own class, and in the next if a
-    larger partner may be there. Empty fragments have no name unless a set has two or more, so that two sets
-    whose common fragments are all empty still meet.
+    order of n-grams, that of their hashes, is cut into h + 2 fragments, h taken for the largest sizes of the class. A set
+    takes part in its own class, and in the next if a larger partner may be there. Every fragment in which they differ holds
+    one of the n-grams they differ in, so a set with more full fragments than its partners may differ from it in has a full one in common
+    with each of them. Two sets that both have fewer meet by the first n-grams of either, as many as may be missing, and one.
     """
     n = len(grams)
-    own = int(np.searchsorted(_CLASSES, n, side="right")) - 1
+    edges = classes(percent)
+    own = int(np.searchsorted(edges, n, side="right")) - 1
+    most = n * 100 // percent
     found = []
     for c in (own, own + 1):
-        if c > own and n * 100 // percent < _CLASSES[c]:
+        if c > own and most < edges[c]:
             break
-        differ = 2 * (int(_CLASSES[c + 1]) - 1) * (100 - percent) // (100 + percent)
+        last = int(edges[c + 1]) - 1
+        differ = 2 * last * (100 - percent) // (100 + percent)
         if differ == 0:
             continue  # only equal sets link, and these share a node
         pieces = differ + 2
         at = ((grams >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
         start = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-        place = mix(np.array([c], np.uint64)) ^ np.arange(pieces, dtype=np.uint64)
-        full = at[start].astype(np.int64)
-        found.append(mix(np.add.reduceat(mix(grams), start) ^ mix(place[full])))
-        if pieces - len(full) > 1:
-            found.append(mix(~mix(np.delete(place, full))))
+        place = mix(np.array([c], np.uint64))
+        found.append(mix(np.add.reduceat(mix(grams), start) ^ mix(place ^ at[start])))
+        if len(start) <= (n + min(most, last)) * (100 - percent) // (100 + percent):
+            found.append(mix(grams[: n + 1 - -(-percent * n // 100)] ^ mix(~place)))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -76,7 +89,7 @@ def _signed(width: int, percent: int):
                 ["doc_id", "node", "n", "keys", *batch.schema.names[2:]],
             )
 
-    return run
+    return tidy(run)
 
 
 def _fragments(width: int, parts: int):
@@ -100,15 +113,30 @@ def _fragments(width: int, parts: int):
         if rows:
             yield made()
 
-    return run
+    return tidy(run)
 
 
-def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed per pair."""
+def _overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(a, b, na, nb, same, apart): what the pairs have in common in the given fragments, and how many n-grams only one of them has."""
     left = fragments.select(F.col("node").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
     right = fragments.select(F.col("node").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
-    part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("same"))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
+    both = pairs.join(left, "a").join(right, ["b", "fragment"])
+    part = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("same"), (F.size("ga") + F.size("gb")).alias("sum"))
+    once = part.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("same").alias("same"), F.max("sum").alias("sum"))  # a row read twice counts once
+    return once.groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"), F.sum(F.col("sum") - 2 * F.col("same")).alias("apart"))
+
+
+def _linked(pairs: DataFrame, fragments: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed per pair.
+
+    Linked sets differ in few n-grams, so most other pairs differ in too many within the first fragment already; only
+    pairs that do not are counted in the rest.
+    """
+    room = (100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))
+    first = scratch.save(_overlaps(pairs, fragments.filter("fragment = 0")).filter(room), f"{name}-open")
+    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rest = _overlaps(first.select("a", "b"), keep_some(fragments.filter("fragment > 0"), F.col("node"), ends, F.col("node")))
+    total = first.union(rest).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
     return total.filter(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
 
@@ -161,40 +189,43 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     ``row``, the name of doc_id and text together.
     """
     scratch = Scratch(docs.sparkSession, "ngrams")
-    source = pick(docs, "doc_id", "text")
-    wide = source.withColumn("row", _row()) if carry_row else source
-    kinds = "doc_id long, node long, n long, keys array<long>" + ", row long" * carry_row
-    signed = scratch.save(wide.mapInArrow(_signed(width, percent), kinds), "signed")
-    named = signed.select(F.explode("keys").alias("key"), "node")
+    wide = pick(docs, "doc_id", "text").withColumn("row", _row())
+    signed = scratch.save(wide.mapInArrow(_signed(width, percent), "doc_id long, node long, n long, keys array<long>, row long"), "signed")
+    named = signed.select(F.explode("keys").alias("key"), "node", "n")
     named = _maybe_repeated(named, signed)
     repeated = named.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
     held = scratch.save(named.join(repeated, "key").distinct(), "held")
-    nodes = scratch.save(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    need = nodes.join(held.select("node").distinct(), "node", "left_semi").withColumnRenamed("least", "doc_id")
-    need = scratch.save(need, "need")
-    some = keep_some(source, F.xxhash64("doc_id"), need, F.xxhash64("doc_id"))
-    chosen = some.join(need.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    cut = chosen.mapInArrow(_fragments(width, parts), "node long, n long, fragment int, grams array<long>")
-    fragments = scratch.save(cut.join(need.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"]), "fragments")
+    nodes = scratch.save(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
+    need = scratch.save(nodes.join(held.select("node").distinct(), "node", "left_semi").select("row"), "need")
+    cut = keep_some(wide, F.col("row"), need, F.col("row")).select("doc_id", "text").mapInArrow(_fragments(width, parts), "node long, n long, fragment int, grams array<long>")
+    fragments = scratch.save(cut, "fragments", by="fragment")
 
+    near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     central = held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = held.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("centre"))
-    best = held.join(scratch.save(centre, "centre"), "key").groupBy("node").agg(F.max("centre")["node"].alias("centre"))
+    centre = held.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("centre"))
+    met = held.join(scratch.save(centre, "centre"), "key").withColumn("m", F.col("centre.n")).filter(near)
+    best = met.groupBy("node").agg(F.max("centre")["node"].alias("centre"))
     stars = best.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    first = scratch.save(_linked(stars, fragments, percent), "first")
+    first = scratch.save(_linked(stars, fragments, percent, scratch, "stars"), "first")
     joined = scratch.save(components(first, scratch, "one"), "joined")
-    placed = held.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = held.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     placed = scratch.save(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    active = placed.join(mixed, "key", "left_semi").select("node", "component").distinct()
-    sets = scratch.save(fragments.join(active, "node"), "sets")
-    second = _linked(scratch.save(_rare_pairs(sets, percent), "pairs"), fragments, percent)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
+    mixed = scratch.save(mixed.select("key", "size"), "mixed")
+    some = placed.join(mixed.filter(F.col("size") <= PAIRED).select("key"), "key")
+    other = some.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    small = some.join(other, "key").filter((F.col("component") < F.col("other")) & near).select(F.col("node").alias("a"), "b")
+    active = placed.join(mixed.filter(F.col("size") > PAIRED).select("key"), "key", "left_semi").select("node", "component").distinct()
+    active = scratch.save(active, "active")
+    sets = scratch.save(keep_some(fragments, F.col("node"), active, F.col("node")).join(active, "node").dropDuplicates(["node", "fragment"]), "sets")
+    pairs = scratch.save(small.union(_rare_pairs(sets, percent)).distinct(), "pairs")
+    second = _linked(pairs, fragments, percent, scratch, "pairs")
     final = scratch.save(components(first.union(second), scratch, "two"), "final")
 
     labelled = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     known = scratch.save(labelled.join(ids, "component").select("node", "component_id"), "known")
-    scratch.drop("held", "need", "fragments", "centre", "first", "joined", "placed", "sets", "pairs", "final")
+    scratch.drop("held", "need", "fragments", "centre", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final", "stars-open", "pairs-open")
     return signed.join(known, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *["row"] * carry_row
     )
