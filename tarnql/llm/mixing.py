@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, apart, pick, range_rank, running_total, word_count
+from .common import Scratch, apart, pick, range_rank, running_total, whole_row, word_count
 
 #: Weight schedules over training time 0..1 as knots (time, weight), dealt to sources in turn. Their
 #: integrals are the weights of the contract: 5 (shrinking), 2 (steady) and 1 (growing).
@@ -108,12 +108,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves in training order, with the columns of ``docs``.
 
     A document stands at each position at which at least half of a pass over it is due, so up to twice; documents are
-    not cut. Documents without words, which no target counts, stand at the end.
+    not cut. Documents without words (null and empty texts too), which no target counts, stand at the end. Rows that are equal in
+    every column stand once for each position that one of them has. Positions are worked out on narrow rows, which name their document by a
+    hash of the whole row; texts are moved to meet them and then range-sorted. An empty table gives an empty result; columns
+    that clash with those used are carried along.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
     docs, back = apart(docs, "doc_id", "source", "text")
-    numbered = scratch.save(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
-    due = mix(numbered, carry=("_uid",), **options)
+    named = docs.withColumn("_row", whole_row(docs))
+    due = mix(named.select("_row", "doc_id", "source", "text"), carry=("_row",), **options)
     times = F.array(F.when(2 * F.col("one") >= F.col("size"), F.coalesce("position", F.lit(2.0))), F.when((2 * F.col("two") >= F.col("size")) & (F.col("two") > 0), F.col("again")))
-    due = due.select("_uid", F.explode(F.filter(times, lambda x: x.isNotNull())).alias("_time"))
-    return back(numbered.join(due, "_uid").orderBy("_time", "_uid"))
+    due = scratch.save(due.withColumn("_tie", F.monotonically_increasing_id()).select("_row", "_tie", F.explode(F.filter(times, lambda x: x.isNotNull())).alias("_time")), "due")
+    if due.groupBy("_row").agg(F.min("_tie").alias("x"), F.max("_tie").alias("y")).filter("x < y").head(1):
+        named = named.dropDuplicates(["_row"])  # of equal rows one meets the positions of all
+    return back(named.join(due, "_row").orderBy("_time", "_tie"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .bloom import keep_some
 from .common import Scratch, pick
-from .hashing import _INVERSE, _P, _table, mix, word_hashes
+from .hashing import _INVERSE, _P, _table, mix, tidy, word_hashes
 
 #: Words of a minimizer, the marker by which windows are brought together.
 MARK = 8
@@ -65,7 +65,7 @@ def _runs(window: int):
                     ["doc_id", "text_hash", "ord", "lo", "hi", "mark", "span"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _windows(window: int):
@@ -90,7 +90,7 @@ def _windows(window: int):
                     ["doc_id", "text_hash", "start", "name", "weight"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,4 +198,4 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     each = scratch.save(each.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "ranges")
     scratch.drop("runs", "marks", "some", "spans", "whole", "read", "windows", "links")
     found = source.join(each, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return found.select("doc_id", "text", "ranges").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.select("doc_id", "text", "ranges").mapInArrow(tidy(_strip), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -6,12 +6,13 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import apart, pick
-from .hashing import _INVERSE, _LOWER, _P, STEP, _table, mix
+from .hashing import _INVERSE, _LOWER, _P, STEP, _table, mix, tidy
 
 #: Hashed features; bucket 0 stands for none.
 BUCKETS = 1 << 20
@@ -208,7 +209,7 @@ def toxicity(docs: DataFrame, model: bytes | None, threshold: float = 0.7) -> Da
     without words (null, empty) has score 0 and worst_sentence -1. A null doc_id is not held out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = pick(docs, "doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double, worst_sentence long, worst_score double")
+    scored = pick(docs, "doc_id", "text").mapInArrow(tidy(_score(shared)), "doc_id long, score double, worst_sentence long, worst_score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_sentence", "worst_score")
 
 
@@ -238,24 +239,30 @@ def toxic_sentences(docs: DataFrame, model: bytes | None, least: float = 0.5) ->
     return pick(docs, "doc_id", "text").mapInArrow(_locate(shared, least), "doc_id long, sentence long, text string, score double")
 
 
-def _clean(shared, at: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def clean_documents(docs: DataFrame, model: bytes | None, threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold, with the columns of ``docs``. A text without words (null, empty) stays.
+
+    Only texts go to Python, and one truth value a row comes back. Repeated rows are judged each, and alike; columns that clash
+    with ``text`` but for case are carried along. An empty table gives an empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = _score(shared)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                texts = pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at)], ["doc_id", "text"])
-                for scored in score(iter([texts])):
-                    yield batch.filter(pa.array(scored.column(1).to_numpy() < threshold))
 
-    return run
+        def judged(part: pd.Series) -> pd.Series:
+            found = []
+            for start in range(0, len(part), 500):
+                texts = pa.array(part.iloc[start : start + 500], pa.string())
+                batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int64)), texts], ["doc_id", "text"])
+                found += [scored.column(1).to_numpy() < threshold for scored in score(iter([batch]))]
+            return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
 
+        yield from tidy(lambda parts: map(judged, parts))(parts)
 
-def clean_documents(docs: DataFrame, model: bytes | None, threshold: float = 0.7) -> DataFrame:
-    """The documents that score below the threshold, with the columns of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     docs, back = apart(docs, "text")
-    return back(docs.mapInArrow(_clean(shared, docs.columns.index("text"), threshold), docs.schema))
+    return back(docs.filter(clean("text")))
 
 
 def trained_on(spark: SparkSession, sf_dir: str, docs: DataFrame) -> bytes | None:
