@@ -13,7 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, pick, running_total
+from .hashing import tidy
 
 # Fixed value: the split rule of byte-level BPE.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,8 +31,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
     """Text to little-endian 32-bit ids, those that the tokenizers library gives for the file.
 
     A byte-level BPE whose ids are in order of its merges runs in tiktoken, which encodes whole texts four times
-    as fast and gives the same ids; any other file, and a text that holds the string of a special token, goes
-    through tokenizers.
+    as fast and gives the same ids; any other file, a text that holds the string of a special token, and one that tiktoken
+    gives up on (its regular expressions have a bounded stack, which a million blanks in a row exceed), goes through tokenizers.
     """
     import os
 
@@ -60,20 +61,24 @@ def encoder(path: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
             return plain(text)
-        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except Exception:  # tiktoken has no error type of its own
+            return plain(text)
 
     return encode
 
 
 def _cut(path: str, length: int, width: int, end: int, keep_ids: bool):
-    """Documents to pieces: full sequences first, then the rest; each piece with its number within partition and class."""
+    """Documents to pieces: full sequences first, then the rest; each piece with its number within partition and class.
+    A third column is handed through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         stop = np.array([end], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, own = [], []
+            for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 ids = encode(text.as_py() or "") + stop
                 n = len(ids) // 4
                 for start in range(0, n, length):
@@ -81,25 +86,27 @@ def _cut(path: str, length: int, width: int, end: int, keep_ids: bool):
                     size = len(body) // 4
                     kind = -(-size // width)
                     rows.append((doc, start, size, zlib.crc32(body), n, kind, part, seen[kind], np.frombuffer(body, "<u4").tolist() if keep_ids else None))
+                    own.append(row)
                     seen[kind] += 1
                 if len(rows) > 5000:
-                    yield _batch(rows, keep_ids)
-                    rows = []
+                    yield _batch(rows, keep_ids, batch.columns[2:], own)
+                    rows, own = [], []
             if rows:
-                yield _batch(rows, keep_ids)
+                yield _batch(rows, keep_ids, batch.columns[2:], own)
 
-    return run
+    return tidy(run)
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int"
 
 
-def _batch(rows: list[tuple], keep_ids: bool) -> pa.RecordBatch:
+def _batch(rows: list[tuple], keep_ids: bool, carried: list[pa.Array], own: list[int]) -> pa.RecordBatch:
     doc, start, size, crc, n, kind, part, at, ids = zip(*rows, strict=True)
     columns = {"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(n, pa.int64()), "kind": pa.array(kind, pa.int32())}
     if keep_ids:
         columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
-    return pa.RecordBatch.from_pydict(columns | {"part": pa.array(part, pa.int32()), "at": pa.array(at, pa.int64())})
+    columns |= {"part": pa.array(part, pa.int32()), "at": pa.array(at, pa.int64())}
+    return pa.RecordBatch.from_pydict(columns | {"order": c.take(pa.array(own)) for c in carried})
 
 
 def _best_pattern(worth: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -205,65 +212,127 @@ def patterns(demand: dict[int, int], room: int, rounds: int = 4000) -> list[tupl
     return made + [(n, dict(sorted(p))) for p, n in sorted(rest.items(), key=lambda x: sorted(x[0]))]
 
 
-def _layout(made: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
-    """For each kind, rows (first rank, count in the pattern, first sequence, first slot) by rank."""
+def _layout(made: list[tuple[int, dict[int, int]]]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """For each kind, blocks (first rank, count in the pattern, pattern, first slot) by rank; and how often each pattern is used."""
     layout: dict[int, list] = {}
     used: Counter = Counter()
-    sequence = 0
-    for times, pattern in made:
+    for number, (times, pattern) in enumerate(made):
         slot = 0
         for kind in sorted(pattern, reverse=True):
-            layout.setdefault(kind, []).append((used[kind], pattern[kind], sequence, slot))
+            layout.setdefault(kind, []).append((used[kind], pattern[kind], number, slot))
             used[kind] += times * pattern[kind]
             slot += pattern[kind]
-        sequence += times
-    return {k: np.array(v, np.int64) for k, v in layout.items()}
+    return {k: np.array(v, np.int64) for k, v in layout.items()}, np.array([times for times, _ in made], np.int64)
 
 
 def _assign(shared):
-    """Ranked pieces to sequences and slots."""
+    """Ranked pieces to sequences and slots, pattern by pattern."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout = shared.value
+        layout, times = shared.value
+        first = np.concatenate([[0], np.cumsum(times)])
         for b in batches:
-            kind = b.column(b.schema.get_field_index("kind")).to_numpy(zero_copy_only=False)
-            rank = b.column(b.schema.get_field_index("rank")).to_numpy(zero_copy_only=False)
+            kind, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("kind", "rank"))
             seq, slot = np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int64)
             for k in np.unique(kind):
-                own = kind == k
-                rows = layout[int(k)]
+                own, rows = kind == k, layout[int(k)]
                 at = rows[np.searchsorted(rows[:, 0], rank[own], side="right") - 1]
                 q = rank[own] - at[:, 0]
-                seq[own], slot[own] = at[:, 2] + q // at[:, 1], at[:, 3] + q % at[:, 1]
+                seq[own], slot[own] = first[at[:, 2]] + q // at[:, 1], at[:, 3] + q % at[:, 1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(slot)], [*b.schema.names, "sequence_id", "slot"])
+
+    return run
+
+
+def _due(copy: np.ndarray, pattern: int, times: np.ndarray) -> np.ndarray:
+    """When the copies of a pattern are due, from 0 to 1: spread evenly, each pattern from a start of its own."""
+    return (copy + (0.5 + pattern * 0.6180339887498949) % 1.0) / times[pattern]
+
+
+def _due_by(time: np.ndarray, pattern: int, times: np.ndarray, also: bool) -> np.ndarray:
+    """How many copies of a pattern are due before the given times, or ``also`` just then."""
+    side = np.less_equal if also else np.less
+    n = np.clip((time * times[pattern]).astype(np.int64) - 1, 0, times[pattern])  # at most the true number
+    while (more := (n < times[pattern]) & side(_due(n, pattern, times), time)).any():
+        n += more
+    return n
+
+
+def _turns(rank: np.ndarray, rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pattern, copy, place among those of the kind in it) of the pieces of a kind, by rank, if places are filled as they are due."""
+    low, high = np.zeros(len(rank), np.int64), np.full(len(rank), np.float64(2.0).view(np.int64))
+    while (low < high).any():  # the time of each place, found bit by bit: positive floats are in order of their bits
+        mid = (low + high) // 2
+        enough = sum(count * _due_by(mid.view(np.float64), p, times, True) for _, count, p, _ in rows.tolist()) > rank
+        high, low = np.where(enough, mid, high), np.where(enough, low, mid + 1)
+    time = low.view(np.float64)
+    rest = rank - sum(count * _due_by(time, p, times, False) for _, count, p, _ in rows.tolist())
+    out, copy, place, open_ = (np.zeros(len(rank), np.int64) for _ in range(4))
+    for at, (_, count, p, _) in enumerate(rows.tolist()):  # patterns due at the same time, in their order
+        n = _due_by(time, p, times, False)
+        here = (open_ == 0) & (_due_by(time, p, times, True) > n)
+        found = here & (rest < count)
+        out[found], copy[found], place[found], open_[found] = at, n[found], rest[found], 1
+        rest -= np.where(here & ~found, count, 0)
+    return out, copy, place
+
+
+def _assign_in_turn(shared):
+    """Pieces ranked in order to sequences and slots: sequences are numbered as they are due, all patterns at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout, times = shared.value
+        for b in batches:
+            kind, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("kind", "rank"))
+            pattern, copy, slot, seq = (np.zeros(len(kind), np.int64) for _ in range(4))
+            for k in np.unique(kind):
+                own, rows = kind == k, layout[int(k)]
+                at, copy[own], place = _turns(rank[own], rows, times)
+                pattern[own], slot[own] = rows[at, 2], rows[at, 3] + place
+            time = np.zeros(len(kind))
+            for p in np.unique(pattern):
+                time[pattern == p] = _due(copy[pattern == p], int(p), times)
+            for other in range(len(times)):
+                seq += np.where(other < pattern, _due_by(time, other, times, True), _due_by(time, other, times, False))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(slot)], [*b.schema.names, "sequence_id", "slot"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, width: int = 4, end: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, width: int = 4, end: int = 0, keep_ids: bool = False, order: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if kept).
 
-    A document's ids are the tokenizer's, then ``end``; null and empty texts are that one id. A document longer
-    than ``length`` is cut into full sequences and a rest; nothing else is cut. Rests are classed by length in
+    A document's ids are the tokenizer's, then ``end``; null and empty texts are that one id, a null doc_id is kept. A document longer
+    than ``length`` is cut into full sequences and a rest, however long its text; nothing else is cut. Rests are classed by length in
     steps of ``width``; the histogram of classes, at most length / width numbers, is all the driver sees. Column
     generation turns it into patterns, rounded to whole numbers, and the pieces of a class, ranked over the
-    whole table, are dealt to the patterns' places. Offsets are gapless from 0. Repeated documents are packed
-    as often as they occur. An empty table gives an empty result.
+    whole table, are dealt to the patterns' places. Offsets are gapless from 0. A sequence holds ``length`` ids at most; one with fewer is
+    padded to ``length`` by whoever writes it out, unless the number of its ids is a power of two: it then stands as it is, with no padding.
+    Repeated documents are packed as often as they occur; ties change nothing. Columns that clash with those used do not matter. An empty table gives an empty result.
+
+    With ``order``, the name of a column, sequences come in that order as far as packing allows: the copies of every pattern are
+    spread evenly over the run, sequences are numbered as they are due, and the pieces of a class fill its places in order.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     schema = PIECE + ", ids array<int>" * keep_ids
-    pieces = scratch.save(pick(docs, "doc_id", "text").mapInArrow(_cut(tokenizer, length, width, end, keep_ids), f"{schema}, part int, at long"), "pieces")
+    source = pick(docs, "doc_id", "text", *[order] * (order is not None))
+    carried = f", order {source.schema[-1].dataType.simpleString()}" if order else ""
+    pieces = scratch.save(source.mapInArrow(_cut(tokenizer, length, width, end, keep_ids), f"{schema}, part int, at long{carried}"), "pieces")
     counts = scratch.save(pieces.groupBy("part", "kind").agg(F.count("*").alias("n")), "counts")
     demand = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     room = length // width
-    full = demand.pop(room, 0)
-    made = patterns(demand, room) + ([(full, {room: 1})] if full else [])
+    rests = {k: n for k, n in demand.items() if k != room}
+    made = patterns(rests, room) + ([(demand[room], {room: 1})] if room in demand else [])
     shared = spark.sparkContext.broadcast(_layout(made))
-    earlier = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("part").alias("_p"), F.col("kind").alias("_k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_s"))
-    ranked = pieces.join(starts, (F.col("part") == F.col("_p")) & (F.col("kind") == F.col("_k"))).withColumn("rank", F.col("_s") + F.col("at")).drop("_p", "_k", "_s", "part", "at")
-    placed = ranked.mapInArrow(_assign(shared), f"{schema}, rank long, sequence_id long, slot long")
+    if order:
+        one = pieces.drop("part", "at").withColumn("_one", F.lit(1).cast("long"))
+        ranked = running_total(one, scratch, "ranked", "kind", [F.col("order"), F.col("start")], "_one").withColumnRenamed("before", "rank").drop("_one", "order")
+    else:
+        earlier = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select(F.col("part").alias("_p"), F.col("kind").alias("_k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_s"))
+        ranked = pieces.join(starts, (F.col("part") == F.col("_p")) & (F.col("kind") == F.col("_k"))).withColumn("rank", F.col("_s") + F.col("at")).drop("_p", "_k", "_s", "part", "at")
+    placed = ranked.mapInArrow((_assign_in_turn if order else _assign)(shared), f"{schema}, rank long, sequence_id long, slot long")
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)
