@@ -26,22 +26,38 @@ def holds(plane: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return ((plane[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
+def _told(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Positions, slice by slice: those set once or more, and those set again."""
+    at, n = np.unique(np.concatenate(parts), return_counts=True)
+    cut = np.flatnonzero(np.diff(at >> np.uint64(16))) + 1
+    rows = []
+    for p, c in zip(np.split(at, cut), np.split(n, cut), strict=True):
+        low = (p & np.uint64(SLICE - 1)).astype("<u2")
+        rows.append((int(p[0]) // SLICE, low.tobytes(), low[c > 1].tobytes()))
+    for i in range(0, len(rows), 256):
+        k, a, b = zip(*rows[i : i + 256], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["slice", "once", "again"])
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
+
+
 def _seen(bits: int):
-    """A task reports, slice by slice, the positions it set once or more and those it set again."""
+    """A task reports the positions of its fingerprints, a million fingerprints at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [places(b.column(0).to_numpy(zero_copy_only=False), bits).ravel() for b in batches]
-        if not parts or not sum(map(len, parts)):
-            return
-        at, n = np.unique(np.concatenate(parts), return_counts=True)
-        cut = np.flatnonzero(np.diff(at >> np.uint64(16))) + 1
-        rows = []
-        for p, c in zip(np.split(at, cut), np.split(n, cut), strict=True):
-            low = (p & np.uint64(SLICE - 1)).astype("<u2")
-            rows.append((int(p[0]) // SLICE, low.tobytes(), low[c > 1].tobytes()))
-        for i in range(0, len(rows), 256):
-            k, a, b = zip(*rows[i : i + 256], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["slice", "once", "again"])
+        parts, n = [], 0
+        for batch in batches:
+            values = _flat(batch.column(0))
+            if len(values):
+                parts.append(places(values, bits).ravel())
+                n += len(values)
+            if n > 1 << 20:
+                yield from _told(parts)
+                parts, n = [], 0
+        if parts:
+            yield from _told(parts)
 
     return run
 
@@ -68,9 +84,10 @@ def size_for(rows: int, bits_per_row: int, max_bits: int) -> int:
     return bits
 
 
-def fill(prints: DataFrame, bits: int, least: int = 1, tasks: int = 256) -> bytes:
-    """The filter of the fingerprints in the one column of ``prints``: bits set ``least`` (1 or 2) times or more."""
-    told = prints.coalesce(tasks).mapInArrow(_seen(bits), "slice int, once binary, again binary")
+def fill(prints: DataFrame, bits: int, least: int = 1) -> bytes:
+    """The filter of the fingerprints in the one column of ``prints``, of numbers or arrays of them: bits set ``least`` (1 or 2) times
+    or more."""
+    told = prints.mapInArrow(_seen(bits), "slice int, once binary, again binary")
     slices = told.groupBy("slice").applyInPandas(_merge(least), "slice int, plane binary")
     plane = np.zeros((bits // SLICE, SLICE // 8), np.uint8)
     for row in slices.toLocalIterator():
@@ -95,6 +112,32 @@ def mark(df: DataFrame, column: str, plane: bytes, bits: int) -> DataFrame:
     return df.withColumn("maybe", _maybe(df.sparkSession, plane, bits)(F.col(column)))
 
 
+def _survivors(shared, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plane = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            keys = batch.column(0)
+            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            held = np.flatnonzero(holds(plane, flat, bits))
+            owner = pa.array(np.repeat(np.arange(len(keys)), keys.value_lengths().fill_null(0).to_numpy())[held])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[held]), *[c.take(owner) for c in batch.columns[1:]]], ["key", *batch.schema.names[1:]])
+
+    return run
+
+
+def repeated_keys(rows: DataFrame, bits_per_key: int = 8, max_bits: int = 1 << 29) -> DataFrame:
+    """``rows`` (keys, an array of numbers, and other columns of numbers) to a row for each key that may occur twice in the table.
+
+    A filter of bits set twice lets about one in twenty of those that occur once pass too. It takes 64 MB at most; where that
+    is too small more keys pass, and what is grouped by key afterwards is the same.
+    """
+    n = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bits = size_for(n, bits_per_key, max_bits)
+    shared = rows.sparkSession.sparkContext.broadcast(fill(rows.select("keys"), bits, least=2))
+    others = [c for c in rows.columns if c != "keys"]
+    return rows.select("keys", *others).mapInArrow(_survivors(shared, bits), ", ".join(["key long", *[f"{c} long" for c in others]]))
+
+
 def keep_some(df: DataFrame, key: Column, others: DataFrame, other_key: Column, bits_per_row: int = 16, max_bits: int = 1 << 27) -> DataFrame:
     """Rows of ``df`` whose key is among those of ``others``, and about one in seventy of the rest.
 

@@ -39,6 +39,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. (``np.unique`` alone takes a hash table, which is many times slower on large arrays.)"""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def tidy(run: Callable) -> Callable:
     """The same work on batches; when a task's input ends, memory that its worker holds for nothing goes back to the system."""
 
@@ -92,4 +98,4 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     h = np.full(n - size + 1, np.uint64(size * 0x1D8E4E27C47D124F % (1 << 64)))
     for j in range(size):
         h = mix(h ^ words[j : n - size + 1 + j])
-    return np.unique(h)
+    return distinct(h)

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bloom
-from .bloom import drop_some, keep_some
+from .bloom import drop_some, keep_some, repeated_keys
 from .common import Scratch, apart, components, pick
 from .hashing import mix, shingles, tidy, word_hashes
 
@@ -159,15 +158,6 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "gram").filter((F.col("ca") < F.col("cb")) & enough).select("a", "b").distinct()
 
 
-def _maybe_repeated(named: DataFrame, signed: DataFrame, bits_per_key: int = 8, max_bits: int = 1 << 29) -> DataFrame:
-    """Names of fragments (key, node) that may occur twice, by a Bloom filter of bits set twice: about one in twenty of those
-    that occur once pass too. The filter takes 64 MB at most; where that is too small more names are shuffled and the
-    result is the same."""
-    n = signed.agg(F.sum(F.size("keys"))).first()[0] or 0
-    bits = bloom.size_for(n, bits_per_key, max_bits)
-    return bloom.mark(named, "key", bloom.fill(named.select("key"), bits, least=2), bits).filter("maybe").drop("maybe")
-
-
 def _row():
     """A 64-bit name of doc_id and text."""
     return F.xxhash64("doc_id", "text")
@@ -191,8 +181,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     scratch = Scratch(docs.sparkSession, "ngrams")
     wide = pick(docs, "doc_id", "text").withColumn("row", _row())
     signed = scratch.save(wide.mapInArrow(_signed(width, percent), "doc_id long, node long, n long, keys array<long>, row long"), "signed")
-    named = signed.select(F.explode("keys").alias("key"), "node", "n")
-    named = _maybe_repeated(named, signed)
+    named = scratch.save(repeated_keys(signed.select("keys", "node", "n")), "named")
     repeated = named.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
     held = scratch.save(named.join(repeated, "key").distinct(), "held")
     nodes = scratch.save(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
@@ -225,7 +214,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     labelled = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     known = scratch.save(labelled.join(ids, "component").select("node", "component_id"), "known")
-    scratch.drop("held", "need", "fragments", "centre", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final", "stars-open", "pairs-open")
+    scratch.drop("named", "held", "need", "fragments", "centre", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final", "stars-open", "pairs-open")
     return signed.join(known, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *["row"] * carry_row
     )
