@@ -1,103 +1,258 @@
-"""Fuzzy duplicate lines by MinHash over the whole corpus. DataFrame functions only."""
+"""Fuzzy duplicate lines by MinHash over the whole corpus.
+
+Signatures and exact tests run in numpy, a batch at a time: in DataFrame functions alone they do not meet the limits (the
+README has the figures). Everything between them is joins and aggregations.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
+from .bloom import keep_some, repeated_keys
 from .common import Scratch, components, pick
+from .hashing import _INVERSE, _P, STEP, _table, distinct, mix, tidy
 from .ngram_join import _rare_pairs
 
-
 #: Characters of a shingle.
 WIDTH = 5
-#: Bands of a line of fewer shingles than ``SHORT``, and of one of ``LONG`` or more, each of so many minima: (minima, bands).
-#: At similarity 0.8 a minimum agrees with a chance of 0.8, so that no band does has a chance of 0.0002, or of 0.0004.
-SHORT, LONG = 160, 128
-FEW, MANY = (4, 16), (6, 26)
-#: Lines of a band that are still paired out after the tests against two of them.
-PAIRED = 16
-
-
-def _let(value: Column, made) -> Column:
-    """``made`` of a value that is worked out once a row, also where lambdas ask for it at every element."""
-    return F.transform(F.array(value), made)[0]
-
-
-def _shingles(line: Column) -> Column:
-    """Distinct hashes of the character shingles of a line, one at every code point; a shorter line is one shingle.
-
-    Characters are found by walking, so a line is taken in runs of 64 places, or the root of its length.
+_ODD = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
+#: Bits of a shingle's hash; those above number the lines that are sorted together.
+BITS = np.uint64(48)
+#: Bins of the range of hashes; a line's signature is the least hash of each.
+BINS = 128
+#: Ways of banding: (from so many shingles, to fewer than so many, bins of a band). Similar lines differ in size by a quarter at
+#: most, so two of them always have a way in common. The first takes every hash in a sixteenth of the bins, not the least alone.
+#: At similarity 0.8 that no band is shared has a chance of 0.003 at most the first way, 0.001 the second, and 0.0001 the third.
+WAYS = [(1, 40, 16), (32, 100, 8), (80, 1 << 40, 5)]
+#: Lines of a band are paired out if they are so many at most; larger bands are searched by rarest shingles.
+PAIRED = 64
+
+# Fixed value: what is trimmed from a line.
+_TRIM = np.zeros(256, bool)
+_TRIM[[32, 9, 11, 12, 13]] = True
+
+
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of strings."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    at = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
+    return at, np.frombuffer(texts.buffers()[2], np.uint8) if n and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+
+
+def _steps(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of ``STEP`` bytes, or one longer row."""
+    first = 0
+    while first < len(at) - 1:
+        end = max(first + 1, int(np.searchsorted(at, at[first] + STEP, side="right")) - 1)
+        yield first, end
+        first = end
+
+
+def lines_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows as (first row, rows, bytes, row, number, start, stop and name of each line); blank lines are left out."""
+    at, data = _buffers(texts)
+    for first, end in _steps(at):
+        raw, edges = data[at[first] : at[end]], at[first : end + 1] - at[first]
+        breaks = np.flatnonzero(raw == 10)
+        begins, ends = np.sort(np.concatenate([edges[:-1], breaks + 1])), np.sort(np.concatenate([breaks, edges[1:]]))
+        count = 1 + np.diff(np.searchsorted(breaks, edges))
+        row = np.repeat(np.arange(end - first), count)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        ink = np.flatnonzero(~_TRIM[raw] & (raw != 10))
+        i, j = np.searchsorted(ink, begins), np.searchsorted(ink, ends) - 1
+        some = i <= j
+        start, stop = ink[i[some]], ink[j[some]] + 1
+        total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _table(_P, len(raw))[: len(raw)])])
+        name = mix((total[stop] - total[start]) * _table(_INVERSE, len(raw))[start]).view(np.int64)
+        yield first, end - first, raw, row[some], number[some], start, stop, name
+
+
+def shingle_sets(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Character shingles of lines, given as spans of UTF-8 bytes, as (first line, lines, line, hash): sorted and distinct.
+
+    A shingle is ``WIDTH`` code points in sequence; a line of fewer is one shingle.
     """
-    step = F.greatest(F.lit(64), F.ceil(F.sqrt(F.length(line))).cast("int"))
-    runs = F.transform(F.sequence(F.lit(1), F.length(line) - (WIDTH - 1), step), lambda at: F.substring(line, at, step + (WIDTH - 1)))
-    each = F.transform(runs, lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - (WIDTH - 1)), lambda i: F.xxhash64(F.substring(run, i, F.lit(WIDTH)))))
-    return F.array_distinct(F.when(F.length(line) >= WIDTH, F.flatten(each)).otherwise(F.array(F.xxhash64(line))))
-
-
-def _sketch(grams: Column, minima: int, bands: int) -> Column:
-    """Band names of sorted hashes. Their range is cut into ``bands`` parts of ``minima`` bins; a band is named by the least
-    hash of each of its bins, and has no name if all are empty."""
-
-    def place(x: Column, parts: int) -> Column:
-        return F.shiftright(F.shiftright(x, 32) * parts, 32)
-
-    def named(low: Column) -> Column:
-        def band(x: Column, i: Column) -> Column:
-            own = place(x, bands)
-            more = [F.when(place(F.get(low, i + j), bands) == own, F.get(low, i + j)) for j in range(1, minima)]
-            return F.when((i == 0) | (place(F.get(low, i - 1), bands) != own), F.xxhash64(F.lit(bands), x, *more))
-
-        return F.array_compact(F.transform(low, band))
-
-    return _let(F.filter(grams, lambda x, i: (i == 0) | (place(F.get(grams, i - 1), minima * bands) != place(x, minima * bands))), named)
-
-
-def _bands(grams: Column) -> Column:
-    """Band names of a line's sorted shingles. Lines at 0.8 differ in size by a quarter at most: two of them always have one way of
-    banding in common."""
-    none = F.array().cast("array<bigint>")
-    few = F.when(F.size(grams) < SHORT, _sketch(grams, *FEW)).otherwise(none)
-    return F.concat(few, F.when(F.size(grams) >= LONG, _sketch(grams, *MANY)).otherwise(none))
-
-
-def _alike(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link. Lines are shuffled, not their shingles, which take eight times as much."""
-    both = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-    sets = both.select("a", "b", _shingles(F.col("la")).alias("ga"), _shingles(F.col("lb")).alias("gb"))
-    sized = sets.select("a", "b", (F.size("ga") + F.size("gb")).alias("sum"), F.size(F.array_intersect("ga", "gb")).alias("same"))
-    return sized.filter(100 * F.col("same") >= percent * (F.col("sum") - F.col("same"))).select("a", "b")
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, line_no, line, node) for all lines; node names the trimmed line, null where it is blank."""
-    split = docs.select("doc_id", "uid", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    line = F.expr(r"btrim(line, ' \t\u000b\f\r')")
-    return split.withColumn("line", line).withColumn("node", F.when(F.col("line") != "", F.xxhash64("line")))
-
-
-def _thinned(lines: DataFrame, need: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 23) -> DataFrame:
-    """Lines whose node is in ``need``, and a few others, by a Bloom filter in plain columns.
-
-    Tasks combine the bits of each filter byte; the filter, 1 MB at most, comes back as a literal of the plan. Where it is too
-    small more lines pass. It thins the lines before a join, which stays exact.
+    lead = (raw & 0xC0) != 0x80
+    lead[start] = True  # so that bytes that are not UTF-8 cannot reach over a line's start
+    place = np.flatnonzero(lead)
+    code = raw[place].astype(np.uint64)
+    if len(place) < len(raw):
+        after = np.append(place[1:], len(raw))
+        for j in (1, 2, 3):
+            more = np.flatnonzero(place + j < after)
+            code[more] = (code[more] << np.uint64(8)) | raw[place[more] + j]
+    low, high = np.searchsorted(place, start), np.searchsorted(place, stop)
+    whole = np.zeros(max(0, len(code) - WIDTH + 1), np.uint64)
+    for j in range(WIDTH):
+        whole += code[j : len(whole) + j] * _ODD[j]
+    whole = mix(whole) >> (np.uint64(64) - BITS)
+    step = 1 << (64 - int(BITS))
+    for first in range(0, len(start), step):
+        lo, size = low[first : first + step], (high - low)[first : first + step]
+        count = np.maximum(size - WIDTH + 1, 0)
+        line = np.repeat(np.arange(len(lo)), count)
+        at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+        keys = (line.astype(np.uint64) << BITS) | whole[at]
+        short = np.flatnonzero(count == 0)
+        if len(short):
+            h = np.zeros(len(short), np.uint64)
+            for j in range(WIDTH - 1):
+                inside = size[short] > j
+                h[inside] += code[lo[short[inside]] + j] * _ODD[j]
+            h = mix(h ^ mix(size[short].astype(np.uint64))) >> (np.uint64(64) - BITS)
+            keys = np.concatenate([keys, (short.astype(np.uint64) << BITS) | h])
+        keys = distinct(keys)
+        yield first, len(lo), (keys >> BITS).astype(np.int64), keys & ((np.uint64(1) << BITS) - np.uint64(1))
+
+
+def signatures(line: np.ndarray, h: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, name) of the bands of lines, from their sorted shingles, and ``BINS`` bits of each line, as two numbers.
+
+    A band is named by the least hash of each of its bins, and has no name if it is empty. Up to three shingles are one band, as such
+    lines are alike only if they are equal. Every bin gives a bit of its least hash, or 0 if it is empty: what two lines do
+    not share turns half of the bits it decides.
+    """
+    size = np.bincount(line, minlength=lines)
+    place = ((h * np.uint64(BINS)) >> BITS).astype(np.int64)
+    cell = line * BINS + place
+    first = np.concatenate([[True], cell[1:] != cell[:-1]])[: len(h)]
+    low, cell = mix(h[first]), cell[first]
+    owner, place = cell // BINS, cell % BINS
+    found = []
+    for way, (least, most, width) in enumerate(WAYS):
+        own = ((size >= least) & (size < most))
+        if not own.any():
+            continue
+        if way == 0:  # every hash
+            some = np.flatnonzero(own[line])
+            x, at, band = mix(h[some]), line[some], ((h[some] * np.uint64(BINS)) >> BITS).astype(np.int64) // width
+            band[size[at] < 4] = 0
+        else:
+            some = np.flatnonzero(own[owner])
+            x, at, band = low[some], owner[some], place[some] // width
+        new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (at[1:] != at[:-1])]))
+        found.append((at[new], mix(np.add.reduceat(x, new) ^ mix(np.array([way], np.uint64)))))
+    bits = np.zeros(2 * lines, np.uint64)
+    if len(cell):
+        word = cell >> 6
+        new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        bits[word[new]] = np.bitwise_or.reduceat(((low >> np.uint64(17)) & np.uint64(1)) << (place & 63).astype(np.uint64), new)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[a for a, _ in found]]), np.concatenate([none, *[b.view(np.int64) for _, b in found]]), bits.reshape(lines, 2).view(np.int64)
+
+
+SIGNED = "doc_id long, uid long, line_no int, node long, n long, x long, y long, keys array<long>"
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, uid, text) to a row for each line that is not blank, and one with a null name for a document without any.
+
+    Equal lines of a run of rows are signed once, at the first of them.
     """
-    bits, n = 1 << 13, need.count()
-    while bits < n * bits_per_row and bits < max_bits:
-        bits *= 2
-    places = [F.col("node").bitwiseAND(bits - 1), F.shiftrightunsigned("node", 32).bitwiseAND(bits - 1)]
-    at = need.select(F.explode(F.array(*places)).alias("at"))
-    filled = at.groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("set"))
-    plane = bytearray(bits // 8)
-    for row in filled.toLocalIterator():
-        plane[row["byte"]] = row["set"]
+    for batch in batches:
+        for first, rows, raw, row, number, start, stop, name in lines_of(batch.column(2)):
+            _, where = np.unique(name, return_index=True)
+            where.sort()
+            size, bits, owner, keys = np.zeros(len(name), np.int64), np.zeros((len(name), 2), np.int64), [], []
+            for at, lines, line, h in shingle_sets(raw, start[where], stop[where]):
+                size[where[at : at + lines]] = np.bincount(line, minlength=lines)
+                own, key, bits[where[at : at + lines]] = signatures(line, h, lines)
+                owner.append(where[at + own])
+                keys.append(key)
+            owner, keys = np.concatenate([np.zeros(0, np.int64), *owner]), np.concatenate([np.zeros(0, np.int64), *keys])
+            order = np.argsort(owner, kind="stable")
+            ends = np.searchsorted(owner[order], np.arange(len(name) + 1)).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order]))
+            blank = np.setdiff1d(np.arange(rows), row)
+            none = pa.nulls(len(blank))
+            own = pa.array(np.concatenate([row, blank]) + first)
+            columns = [batch.column(0).take(own), batch.column(1).take(own)]
+            columns += [pa.concat_arrays([a, none.cast(a.type)]) for a in (pa.array(number.astype(np.int32)), pa.array(name), *(pa.array(c, mask=size == 0) for c in (size, bits[:, 0].copy(), bits[:, 1].copy())), found)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "line_no", "node", "n", "x", "y", "keys"])
+
+
+def _wanted(shared, bits: int):
+    """(text) to (node, line) of the lines that a filter of nodes may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plane = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for _, _, raw, _, _, start, stop, name in lines_of(batch.column(0)):
+                node, at = np.unique(name, return_index=True)
+                held = bloom.holds(plane, node, bits)
+                at = at[held]
+                data = raw.tobytes()
+                lines = [data[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[held]), pa.array(lines, pa.binary())], ["node", "line"])
+
+    return run
+
+
+def _alike(percent: int):
+    """(a, b, line of a, line of b) to the pairs whose lines' shingles reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [_buffers(batch.column(c).cast(pa.large_binary()).cast(pa.large_string(), safe=False)) for c in (2, 3)]
+            edges = both[0][0] - both[0][0][0] + both[1][0] - both[1][0][0]
+            for first, end in _steps(edges):
+                sets = []
+                for at, data in both:
+                    raw, cut = data[at[first] : at[end]], at[first : end + 1] - at[first]
+                    parts = [((line + low).astype(np.int64), h) for low, _, line, h in shingle_sets(raw, cut[:-1], cut[1:])]
+                    sets.append([np.concatenate(p) for p in zip(*parts, strict=True)])
+                n = end - first
+                line, h = (np.concatenate([x, y]) for x, y in zip(*sets, strict=True))
+                order = np.lexsort((h, line))
+                line, h = line[order], h[order]
+                twice = np.flatnonzero((line[1:] == line[:-1]) & (h[1:] == h[:-1]))
+                same, every = np.bincount(line[twice], minlength=n), np.bincount(line, minlength=n)
+                near = 100 * same >= percent * (every - same)
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, n).filter(pa.array(near)) for c in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component, line) to (node, component, n, shingles)."""
+    for batch in batches:
+        at, data = _buffers(batch.column(2).cast(pa.large_binary()).cast(pa.large_string(), safe=False))
+        for first, end in _steps(at):
+            raw, cut = data[at[first] : at[end]], at[first : end + 1] - at[first]
+            for low, lines, line, h in shingle_sets(raw, cut[:-1], cut[1:]):
+                ends = np.searchsorted(line, np.arange(lines + 1)).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.astype(np.int64)))
+                own = [batch.column(c).slice(first + low, lines) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(ends).astype(np.int64)), grams], ["node", "component", "n", "grams"])
+
+
+def _near(percent: int) -> Column:
+    """Whether lines (n, x, y) and (n2, x2, y2) may be alike: by size, and by the bits in which they differ.
+
+    Of d shingles that only one of them has each turns a bit with a chance of a half, and of all the bits a tenth is turned at 0.8.
+    Lines that are alike go beyond five standard deviations of that with a chance of one in a million.
+    """
+    apart = (F.col("n") + F.col("n2")) * ((100 - percent) / (100 + percent))
+    share = (100 - percent) / 200
+    most = F.least(0.5 * apart + 2.5 * F.sqrt(apart), F.lit(BINS * share + 5 * (BINS * share * (1 - share)) ** 0.5))
+    turned = F.bit_count(F.col("x").bitwiseXOR(F.col("x2"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("y2")))
+    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (turned <= most)
 
-    def held(place: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(F.lit(bytes(plane)), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
 
-    named = lines.select("line", F.explode(F.array("node")).alias("node"))  # so that the name is made once, not in every condition
-    return named.filter(F.col("node").isNotNull()).filter(held(places[0]) & held(places[1]))
+def _tested(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    lines = keep_some(lines, F.col("node"), ends, F.col("node"))
+    both = pairs.join(lines.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b").join(lines.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
+    return both.select("a", "b", "la", "lb").mapInArrow(tidy(_alike(percent)), "a long, b long")
 
 
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -106,50 +261,53 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     Lines (trimmed; blank ones do not count and never go) are alike if the Jaccard similarity of their character shingles is
     ``percent`` or more. Of every component of alike lines, over all documents and within them, one occurrence stays: in the
     document with the smallest doc_id (nulls first), of its rows the first read, there the first line. A null or empty text has
-    no lines. Documents with the same doc_id are separate rows.
-
-    Equal lines become one node. Nodes that share a band (see ``_sketch``) are candidates; each is tested against the
-    central node of every band it has, the one that shares most with others, and against one drawn by hash. Where the band's
-    other nodes then still lie in several components, they are paired out if they are ``PAIRED`` at most; else the rest is
-    searched by rarest shingles, so that no band of many lines is paired out. Every pair is verified by exact Jaccard.
-    Components come from distributed union-find.
+    no lines. Documents with the same doc_id are separate rows, and repeated rows copies of the first. Lines of any length are read whole.
+    Columns that clash with those used do not matter. An empty table gives an empty result.
+
+    Equal lines become one node. Nodes that share a band and differ in few bits (see ``signatures``) are candidates; each is tested against the
+    most central of the nodes it meets, the one that shares most with others. Where a band's nodes then still lie in several
+    components, they are paired out across these if they are ``PAIRED`` at most; else the rest is searched by rarest
+    shingles, so that no band of many lines is paired out. Every pair is verified by exact Jaccard. Components come from
+    distributed union-find. Lines are named by 64 bits, shingles by 48.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    source = pick(docs, "doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
-    some = _lines(source).withColumn("grams", F.when(F.col("node").isNotNull(), F.sort_array(_shingles(F.col("line")))))
-    sketched = F.when(F.col("node").isNotNull(), _let(F.col("grams"), _bands))
-    signed = scratch.save(some.select("doc_id", "uid", "line_no", "node", F.size("grams").alias("n"), sketched.alias("bands")), "signed")
-
-    near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    named = signed.select(F.explode("bands").alias("key"), "node", "n")
-    repeated = named.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
-    held = scratch.save(named.join(scratch.save(repeated, "repeated"), "key").distinct(), "held")
+    source = pick(docs, "doc_id", "text")
+    numbered = source.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
+    signed = scratch.save(numbered.mapInArrow(tidy(_signed), SIGNED), "signed")
+
+    named = scratch.save(repeated_keys(signed.filter("n is not null").select("keys", "node", "n", "x", "y")), "named")
+    repeated = named.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
+    held = scratch.save(named.join(repeated, "key").distinct(), "held")
     sizes = held.groupBy("key").agg(F.count("*").alias("size"))
     weight = held.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    drawn = F.max(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n")).alias("drawn")
-    centre = held.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("centre"), drawn)
-    two = F.array(*[F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.n").alias("n")) for c in ("centre", "drawn")])
-    met = scratch.save(held.join(centre.select("key", two.alias("two")), "key").filter("node <> two[0].node"), "met")
-    tests = met.select("node", "n", F.explode("two").alias("other")).select("node", "n", F.col("other.node").alias("other"), F.col("other.n").alias("m")).filter(near & F.expr("node <> other"))
-    stars = scratch.save(tests.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct(), "stars")
-    left = met.filter("node <> two[1].node").select("key", "node", "n")
-
-    need = scratch.save(stars.select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct(), "need")
-    lines = _lines(pick(docs, "doc_id", "text").withColumn("uid", F.lit(0).cast("long"))).select("node", "line")
-    lines = scratch.save(_thinned(lines, need).join(need, "node", "left_semi").dropDuplicates(["node"]), "texts")
-
-    first = scratch.save(_alike(stars, lines, percent), "first")
+    centre = scratch.save(held.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n", "x", "y")).alias("centre")), "centre")
+    met = held.join(centre, "key").select("node", "n", "x", "y", "centre", *[F.col(f"centre.{c}").alias(f"{c}2") for c in ("n", "x", "y")])
+    best = met.filter(_near(percent)).groupBy("node").agg(F.max("centre")["node"].alias("centre")).filter("node <> centre")
+    stars = scratch.save(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), "stars")
+
+    need = scratch.save(held.select("node").distinct(), "need")
+    bits = bloom.size_for(need.count(), 16, 1 << 27)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.fill(need, bits))
+    lines = source.select("text").mapInArrow(tidy(_wanted(shared, bits)), "node long, line binary")
+    lines = scratch.save(lines.join(need, "node", "left_semi").dropDuplicates(["node"]), "texts")
+
+    first = scratch.save(_tested(stars, lines, percent), "first")
     joined = scratch.save(components(first, scratch, "one"), "joined")
-    placed = scratch.save(left.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
+    placed = scratch.save(held.join(joined, "node", "left").select(*held.columns, F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
     mixed = scratch.save(mixed.select("key", "size"), "mixed")
     some = placed.join(mixed.filter(F.col("size") <= PAIRED).select("key"), "key")
-    other = some.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    small = some.join(other, "key").filter((F.col("component") < F.col("cb")) & near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    other = some.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "x", "y", "component")])
+    small = some.join(other, "key").filter((F.col("component") < F.col("component2")) & _near(percent)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     active = placed.join(mixed.filter(F.col("size") > PAIRED).select("key"), "key", "left_semi").select("node", "component").distinct()
-    sets = lines.join(active, "node").select("node", "component", _shingles(F.col("line")).alias("grams")).withColumn("n", F.size("grams").cast("long"))
-    large = _rare_pairs(scratch.save(sets, "active"), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _alike(scratch.save(small.union(large).distinct(), "pairs"), lines, percent)
+    active = scratch.save(active, "active")
+    sets = keep_some(lines, F.col("node"), active, F.col("node")).join(active, "node").select("node", "component", "line").mapInArrow(tidy(_sets), "node long, component long, n long, grams array<long>")
+    signs = held.select("node", "n", "x", "y").distinct()
+    large = _rare_pairs(scratch.save(sets, "sets"), percent).join(signs.withColumnRenamed("node", "a"), "a")
+    large = large.join(signs.toDF("b", "n2", "x2", "y2"), "b").filter(_near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.save(small.union(large).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    second = _tested(pairs, lines, percent)
     known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = scratch.save(components(known.union(second), scratch, "two"), "final")
 
@@ -158,7 +316,7 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = nodes.join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.groupBy("first.uid").agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
     kept = scratch.save(kept, "kept")
-    scratch.drop("repeated", "held", "met", "stars", "need", "texts", "first", "joined", "placed", "mixed", "active", "pairs", "final")
+    scratch.drop("named", "held", "centre", "stars", "need", "texts", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final")
     every = signed.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.count("node").alias("n_lines"))
     return every.join(kept, "uid", "left").select(
         "doc_id",

@@ -113,10 +113,7 @@ def line_components(docs):
             if line := line.strip(" \t\n\x0b\x0c\r"):
                 found[line].append((k, i))
     lines = list(found)
-    sets = []
-    for line in lines:
-        w = words(line)
-        sets.append({(w[i], w[i + 1], w[i + 2][:4]) for i in range(len(w) - 2)} if len(w) >= 3 else {line})
+    sets = [{line[i : i + 5] for i in range(max(1, len(line) - 4))} for line in lines]
     own = joined(sets, jaccard(80))
     rank = {k: n for n, k in enumerate(order)}
     best = {}

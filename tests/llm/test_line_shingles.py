@@ -2,9 +2,9 @@
 
 import random
 
-from pyspark.sql import functions as F
+import pyarrow as pa
 
-from tarnql.llm.line_dedup import _bands, _shingles, line_dedup
+from tarnql.llm.line_dedup import _signed, line_dedup
 
 from .cases import frame, jaccard, joined, prose
 
@@ -40,14 +40,42 @@ def test_short_edits_link_lines(spark):
     assert got == want
 
 
-def test_bands_meet_at_the_threshold(spark):
-    """Of the pairs at 0.8 or a little more, found by brute force, at most one in a thousand shares no band."""
+def signed(lines):
+    """(size, bands, bits) of each line."""
+    order = pa.array(range(len(lines)))
+    rows = [r for b in _signed(iter([pa.RecordBatch.from_arrays([order, order, pa.array(lines)], ["doc_id", "uid", "text"])])) for r in b.to_pylist()]
+    made = {r["node"]: (r["n"], set(r["keys"]), (r["x"] % 2**64) << 64 | r["y"] % 2**64) for r in rows if r["n"]}
+    return [made[r["node"]] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_signatures_meet_at_the_threshold():
+    """Of the pairs at 0.8 or a little more, found by brute force on characters, hardly any shares no band or differs in too many bits."""
     rng = random.Random(6)
-    lines = [x for k in range(400) for x in family(rng, prose(rng, 4 + 2 * (k % 30)), 6)]
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").withColumn("grams", F.sort_array(_shingles(F.col("line"))))
-    made = {r.i: (r.n, set(r.bands)) for r in rows.select("i", F.size("grams").alias("n"), _bands(F.col("grams")).alias("bands")).collect()}
-    sets = [character_shingles(x) for x in lines]
-    assert all(made[i][0] == len(s) for i, s in enumerate(sets))
+    lines = [x or "empty" for k in range(900) for x in family(rng, prose(rng, 3 + 2 * (k % 45)), 6)]
+    sets, made = [character_shingles(x) for x in lines], signed(lines)
+    assert [n for n, _, _ in made] == [len(s) for s in sets]
     near = [(i, j) for k in range(0, len(lines), 7) for i in range(k, k + 7) for j in range(k, i) if 80 * len(sets[i] | sets[j]) <= 100 * len(sets[i] & sets[j]) <= 86 * len(sets[i] | sets[j])]
-    missed = [p for p in near if not made[p[0]][1] & made[p[1]][1]]
-    assert len(near) > 500 and 1000 * len(missed) <= len(near)
+    apart = [len(sets[i] ^ sets[j]) for i, j in near]
+    missed = [p for p, d in zip(near, apart, strict=True) if not made[p[0]][1] & made[p[1]][1] or (made[p[0]][2] ^ made[p[1]][2]).bit_count() > min(0.5 * d + 2.5 * d**0.5, 29)]
+    assert len(near) > 1500 and 500 * len(missed) <= len(near)
+
+
+def test_ends_of_long_words_and_spaceless_lines_count(spark):
+    """Lines that begin alike and end otherwise stay, whatever their script."""
+    docs = [
+        (1, "see also: https://example.org/cats/and/dogs\nThe parcel arrives tomorrow\n\u7b2c\u4e00 \u7ae0 \u5929\u5730\u7384\u9ec4\u5b87\u5b99\u6d2a\u8352\u65e5\u6708\u76c8\u6603", "", ""),
+        (2, "see also: https://weather.test/2024/storm-report\nThe parcel arrives tomohawk\n\u7b2c\u4e00 \u7ae0 \u5bd2\u6765\u6691\u5f80\u79cb\u6536\u51ac\u85cf\u95f0\u4f59\u6210\u5c81", "", ""),
+    ]
+    assert {r.doc_id: r.n_removed for r in line_dedup(frame(spark, docs)).collect()} == {1: 0, 2: 0}
+
+
+def test_a_large_family_is_one_component(spark):
+    """More lines in a band than are paired out, in chains whose ends are not alike, beside lines that share their beginning only."""
+    rng = random.Random(8)
+    base = prose(rng, 30)
+    chain = [base[: len(base) - 3 * k] for k in range(90)]
+    other = [base[:60] + prose(rng, 40) for _ in range(90)]
+    lines = list(dict.fromkeys(x.strip() for x in chain + other))
+    own = joined([character_shingles(x) for x in lines], jaccard(80))
+    got = sum(len(r.kept_lines) for r in line_dedup(frame(spark, [(i, x, "", "") for i, x in enumerate(lines)])).collect())
+    assert got == len(set(own))
