@@ -54,6 +54,10 @@ def _clean_at_exit() -> None:
         shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+#: While it is set, Spark drops the shuffle files of a query when the query ends, instead of some time later.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written once to a shared folder, which cuts lineage: a lost executor costs a re-read, not a re-run.
 
@@ -65,10 +69,15 @@ class Scratch:
         _made.append(self.path)
 
     def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """Writes and reads again, in a folder for each value of ``by`` if that is given."""
-        schema = df.schema
+        """Writes and reads again, in a folder for each value of ``by`` if that is given. No shuffle file outlives the write."""
+        schema, conf = df.schema, self.spark.conf
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
