@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom
-from .bloom import keep_some, repeated_keys
+from .bloom import fill, holds, keep_some, repeated_keys, size_for
 from .common import Scratch, components, pick
 from .hashing import _INVERSE, _P, STEP, _table, distinct, mix, tidy
 from .ngram_join import _rare_pairs
@@ -28,10 +27,10 @@ BITS = np.uint64(48)
 BINS = 128
 #: Ways of banding: (from so many shingles, to fewer than so many, bins of a band). Similar lines differ in size by a quarter at
 #: most, so two of them always have a way in common. The first takes every hash in a sixteenth of the bins, not the least alone.
-#: At similarity 0.8 that no band is shared has a chance of 0.003 at most the first way, 0.001 the second, and 0.0001 the third.
-WAYS = [(1, 40, 16), (32, 100, 8), (80, 1 << 40, 5)]
+#: At similarity 0.8 that no band is shared has a chance of 0.003 at most the first way, 0.001 in between, and 0.0001 the last.
+WAYS = [(1, 40, 16), (32, 80, 10), (64, 160, 7), (128, 1 << 40, 5)]
 #: Lines of a band are paired out if they are so many at most; larger bands are searched by rarest shingles.
-PAIRED = 64
+PAIRED = 256
 
 # Fixed value: what is trimmed from a line.
 _TRIM = np.zeros(256, bool)
@@ -186,7 +185,7 @@ def _wanted(shared, bits: int):
         for batch in batches:
             for _, _, raw, _, _, start, stop, name in lines_of(batch.column(0)):
                 node, at = np.unique(name, return_index=True)
-                held = bloom.holds(plane, node, bits)
+                held = holds(plane, node, bits)
                 at = at[held]
                 data = raw.tobytes()
                 lines = [data[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
@@ -275,25 +274,34 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     numbered = source.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
     signed = scratch.save(numbered.mapInArrow(tidy(_signed), SIGNED), "signed")
 
-    named = scratch.save(repeated_keys(signed.filter("n is not null").select("keys", "node", "n", "x", "y")), "named")
+    signs = scratch.save(signed.filter("n is not null").select("node", "n", "x", "y").dropDuplicates(["node"]), "signs")
+    named = scratch.save(repeated_keys(signed.filter("n is not null").select("keys", "node")), "named")
+    places = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "line_no")
+    nodes = scratch.save(signed.filter("node is not null").groupBy("node").agg(F.min(places).alias("first")), "nodes")
+    every = scratch.save(signed.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.count("node").alias("n_lines")), "every")
+    scratch.drop("signed")
     repeated = named.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
     held = scratch.save(named.join(repeated, "key").distinct(), "held")
+    scratch.drop("named")
     sizes = held.groupBy("key").agg(F.count("*").alias("size"))
-    weight = held.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = scratch.save(held.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n", "x", "y")).alias("centre")), "centre")
+    weight = scratch.save(held.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight")), "weight")
+    signs = scratch.save(signs.join(weight, "node"), "weighed")
+    held = scratch.save(held.join(signs, "node"), "known")
+    centre = scratch.save(held.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "x", "y")).alias("centre")), "centre")
     met = held.join(centre, "key").select("node", "n", "x", "y", "centre", *[F.col(f"centre.{c}").alias(f"{c}2") for c in ("n", "x", "y")])
     best = met.filter(_near(percent)).groupBy("node").agg(F.max("centre")["node"].alias("centre")).filter("node <> centre")
     stars = scratch.save(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), "stars")
 
-    need = scratch.save(held.select("node").distinct(), "need")
-    bits = bloom.size_for(need.count(), 16, 1 << 27)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.fill(need, bits))
+    need = signs.select("node")
+    bits = size_for(need.count(), 16, 1 << 27)
+    shared = docs.sparkSession.sparkContext.broadcast(fill(need, bits))
     lines = source.select("text").mapInArrow(tidy(_wanted(shared, bits)), "node long, line binary")
     lines = scratch.save(lines.join(need, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     first = scratch.save(_tested(stars, lines, percent), "first")
     joined = scratch.save(components(first, scratch, "one"), "joined")
-    placed = scratch.save(held.join(joined, "node", "left").select(*held.columns, F.coalesce("component", "node").alias("component")), "placed")
+    placed = scratch.save(held.join(joined, "node", "left").select("key", "node", "n", "x", "y", F.coalesce("component", "node").alias("component")), "placed")
+    scratch.drop("known", "centre")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
     mixed = scratch.save(mixed.select("key", "size"), "mixed")
     some = placed.join(mixed.filter(F.col("size") <= PAIRED).select("key"), "key")
@@ -302,22 +310,18 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     active = placed.join(mixed.filter(F.col("size") > PAIRED).select("key"), "key", "left_semi").select("node", "component").distinct()
     active = scratch.save(active, "active")
     sets = keep_some(lines, F.col("node"), active, F.col("node")).join(active, "node").select("node", "component", "line").mapInArrow(tidy(_sets), "node long, component long, n long, grams array<long>")
-    signs = held.select("node", "n", "x", "y").distinct()
-    large = _rare_pairs(scratch.save(sets, "sets"), percent).join(signs.withColumnRenamed("node", "a"), "a")
-    large = large.join(signs.toDF("b", "n2", "x2", "y2"), "b").filter(_near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = _rare_pairs(scratch.save(sets, "sets"), percent).join(signs.select(F.col("node").alias("a"), "n", "x", "y"), "a")
+    large = large.join(signs.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "x", "y")]), "b").filter(_near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = scratch.save(small.union(large).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
     second = _tested(pairs, lines, percent)
     known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = scratch.save(components(known.union(second), scratch, "two"), "final")
 
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "line_no")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"))
     kept = nodes.join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.groupBy("first.uid").agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
     kept = scratch.save(kept, "kept")
-    scratch.drop("named", "held", "centre", "stars", "need", "texts", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final")
-    every = signed.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.count("node").alias("n_lines"))
+    scratch.drop("signs", "nodes", "held", "weight", "weighed", "stars", "texts", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final")
     return every.join(kept, "uid", "left").select(
         "doc_id",
         "n_lines",

@@ -72,9 +72,9 @@ def test_ends_of_long_words_and_spaceless_lines_count(spark):
 def test_a_large_family_is_one_component(spark):
     """More lines in a band than are paired out, in chains whose ends are not alike, beside lines that share their beginning only."""
     rng = random.Random(8)
-    base = prose(rng, 30)
-    chain = [base[: len(base) - 3 * k] for k in range(90)]
-    other = [base[:60] + prose(rng, 40) for _ in range(90)]
+    base = prose(rng, 200)
+    chain = [base[: len(base) - 3 * k] for k in range(300)]
+    other = [base[:60] + prose(rng, 40) for _ in range(300)]
     lines = list(dict.fromkeys(x.strip() for x in chain + other))
     own = joined([character_shingles(x) for x in lines], jaccard(80))
     got = sum(len(r.kept_lines) for r in line_dedup(frame(spark, [(i, x, "", "") for i, x in enumerate(lines)])).collect())
