@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Bits of a slice, the unit in which tasks report what they have seen.
 SLICE = 1 << 16
+#: Fingerprints worked on at once.
+LOT = 1 << 18
 
 
 def places(h: np.ndarray, bits: int) -> np.ndarray:
@@ -22,8 +26,11 @@ def places(h: np.ndarray, bits: int) -> np.ndarray:
 
 def holds(plane: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     """Whether all positions of each fingerprint are set."""
-    p = places(h, bits)
-    return ((plane[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+    out = np.zeros(len(h), bool)
+    for i in range(0, len(h), LOT):
+        p = places(h[i : i + LOT], bits)
+        out[i : i + LOT] = ((plane[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+    return out
 
 
 def _told(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -44,18 +51,18 @@ def _flat(column: pa.Array) -> np.ndarray:
 
 
 def _seen(bits: int):
-    """A task reports the positions of its fingerprints, a million fingerprints at a time."""
+    """A task reports the positions of its fingerprints, a million fingerprints or so at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in batches:
             values = _flat(batch.column(0))
-            if len(values):
-                parts.append(places(values, bits).ravel())
-                n += len(values)
-            if n > 1 << 20:
-                yield from _told(parts)
-                parts, n = [], 0
+            for i in range(0, len(values), LOT):
+                parts.append(places(values[i : i + LOT], bits).ravel())
+                n += len(parts[-1])
+                if n > 8 * LOT:
+                    yield from _told(parts)
+                    parts, n = [], 0
         if parts:
             yield from _told(parts)
 
@@ -63,15 +70,19 @@ def _seen(bits: int):
 
 
 def _merge(least: int):
-    """The bits of one slice that were set ``least`` times or more, over all tasks."""
-
-    def run(pdf):
-        n = np.zeros(SLICE, np.int64)
-        for once in pdf["once"]:
-            n[np.frombuffer(once, "<u2")] += 1
-        for again in pdf["again"]:
-            n[np.frombuffer(again, "<u2")] += 1
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "plane": [np.packbits(n >= least, bitorder="little").tobytes()]})
+    """The bits of slices that were set ``least`` times (1 or 2) or more, over all tasks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = {}
+        for name, told in pdf.groupby("slice"):
+            have, twice = np.zeros(SLICE, bool), np.zeros(SLICE, bool)
+            for once, again in zip(told["once"], told["again"], strict=True):
+                at = np.frombuffer(once, "<u2")
+                twice[at[have[at]]] = True
+                have[at] = True
+                twice[np.frombuffer(again, "<u2")] = True
+            made[name] = np.packbits(twice if least > 1 else have, bitorder="little").tobytes()
+        return pd.DataFrame({"slice": list(made), "plane": list(made.values())})
 
     return run
 
@@ -88,11 +99,14 @@ def fill(prints: DataFrame, bits: int, least: int = 1) -> bytes:
     """The filter of the fingerprints in the one column of ``prints``, of numbers or arrays of them: bits set ``least`` (1 or 2) times
     or more."""
     told = prints.mapInArrow(_seen(bits), "slice int, once binary, again binary")
-    slices = told.groupBy("slice").applyInPandas(_merge(least), "slice int, plane binary")
-    plane = np.zeros((bits // SLICE, SLICE // 8), np.uint8)
+    scratch = Scratch(prints.sparkSession, "filter")
+    slices = scratch.save(told.groupBy(F.shiftright("slice", 3)).applyInPandas(_merge(least), "slice int, plane binary"), "slices")
+    plane = bytearray(bits // 8)
     for row in slices.toLocalIterator():
-        plane[row["slice"]] = np.frombuffer(row["plane"], np.uint8)
-    return plane.tobytes()
+        at = row["slice"] * (SLICE // 8)
+        plane[at : at + SLICE // 8] = row["plane"]
+    scratch.drop("slices")
+    return bytes(plane)
 
 
 def _maybe(spark: SparkSession, plane: bytes, bits: int):
@@ -100,9 +114,9 @@ def _maybe(spark: SparkSession, plane: bytes, bits: int):
     row waits in the JVM."""
     shared = spark.sparkContext.broadcast(plane)
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(holds(np.frombuffer(shared.value, np.uint8), h.to_numpy(), bits))
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(holds(np.frombuffer(shared.value, np.uint8), h.to_numpy(zero_copy_only=False), bits))
 
     return maybe
 

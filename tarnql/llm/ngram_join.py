@@ -182,9 +182,12 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     wide = pick(docs, "doc_id", "text").withColumn("row", _row())
     signed = scratch.save(wide.mapInArrow(_signed(width, percent), "doc_id long, node long, n long, keys array<long>, row long"), "signed")
     named = scratch.save(repeated_keys(signed.select("keys", "node", "n")), "named")
+    rows = scratch.save(signed.drop("keys"), "rows")
+    scratch.drop("signed")  # the keys are most of it
     repeated = named.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
     held = scratch.save(named.join(repeated, "key").distinct(), "held")
-    nodes = scratch.save(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
+    scratch.drop("named")
+    nodes = scratch.save(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
     need = scratch.save(nodes.join(held.select("node").distinct(), "node", "left_semi").select("row"), "need")
     cut = keep_some(wide, F.col("row"), need, F.col("row")).select("doc_id", "text").mapInArrow(_fragments(width, parts), "node long, n long, fragment int, grams array<long>")
     fragments = scratch.save(cut, "fragments", by="fragment")
@@ -199,6 +202,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     joined = scratch.save(components(first, scratch, "one"), "joined")
     placed = held.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     placed = scratch.save(placed, "placed")
+    scratch.drop("held", "centre")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
     mixed = scratch.save(mixed.select("key", "size"), "mixed")
     some = placed.join(mixed.filter(F.col("size") <= PAIRED).select("key"), "key")
@@ -214,8 +218,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     labelled = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     known = scratch.save(labelled.join(ids, "component").select("node", "component_id"), "known")
-    scratch.drop("named", "held", "need", "fragments", "centre", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final", "stars-open", "pairs-open")
-    return signed.join(known, "node", "left").select(
+    scratch.drop("need", "nodes", "fragments", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final", "stars-open", "pairs-open")
+    return rows.join(known, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *["row"] * carry_row
     )
 

@@ -6,7 +6,6 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,17 +246,17 @@ def clean_documents(docs: DataFrame, model: bytes | None, threshold: float = 0.7
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = _score(shared)
 
-        def judged(part: pd.Series) -> pd.Series:
-            found = []
+        def judged(part: pa.Array) -> pa.Array:
+            found = [np.zeros(0, bool)]
             for start in range(0, len(part), 500):
-                texts = pa.array(part.iloc[start : start + 500], pa.string())
+                texts = part.slice(start, 500)
                 batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int64)), texts], ["doc_id", "text"])
                 found += [scored.column(1).to_numpy() < threshold for scored in score(iter([batch]))]
-            return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
+            return pa.array(np.concatenate(found))
 
         yield from tidy(lambda parts: map(judged, parts))(parts)
 
