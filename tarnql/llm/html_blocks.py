@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 # Elements by how they stand in a page.
@@ -15,18 +16,40 @@ RAW = set("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = set("script style template noscript head title textarea select datalist svg math iframe object canvas audio video noembed noframes xmp".split())
 #: What may stand in a head. Any other element, and text, ends a head that is still open.
 IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Where the search for an open p ends.
+P_ENDS = set("p td th table button object".split())
 #: An opening tag ends these, unless one of the barriers lies between.
 ENDED_BY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
-_MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*?)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z""", re.S)
+# No alternative is tried twice: a tag that is cut off, however many attributes it has, takes one pass and shows nothing.
+_ATTRIBUTES = r"""(?>[^>"'=]+|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+"""
+_MARKUP = re.compile(rf"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*+)({_ATTRIBUTES})>|<[!?/][^>]*+(?:>|\Z)|<[A-Za-z]{_ATTRIBUTES}\Z""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
 
 
+class Path:
+    """The elements around a block, as links upwards, so that a block costs the same at any depth. ``total`` is for whoever adds up."""
+
+    __slots__ = ("own", "parent", "size", "total")
+
+    def __init__(self, own: tuple[str, ...] = (), parent: "Path | None" = None):
+        self.own, self.parent, self.total = own, parent, None
+        self.size = len(own) + (parent.size if parent else 0)
+
+    def tokens(self) -> list[str]:
+        """From the outermost element on."""
+        links, link = [], self
+        while link is not None:
+            links.append(link.own)
+            link = link.parent
+        return [t for own in reversed(links) for t in own]
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path
     leaf: str
     linked: int
 
@@ -42,12 +65,14 @@ def path_tokens(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order. Character references are decoded, white space is one blank, empty blocks are left out.
 
-    Inline elements do not break a block. Unclosed and wrongly nested tags are taken as browsers mostly do: an opening
+    A page costs in proportion to its length, however deep it is nested. Inline elements do not break a block. Unclosed and wrongly nested tags are taken as browsers mostly do: an opening
     block ends an open paragraph, a closing tag ends what it matches and is ignored if there is nothing. Comments,
     scripts, styles and other elements without shown text are skipped, also where the page ends inside of them.
     """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path, int]] = []  # element, path, place of the nearest one that ends the search for an open p
+    held: Counter[str] = Counter()
+    root = Path()
     text: list[str] = []
     links = linked = hidden = at = 0
 
@@ -56,13 +81,15 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                found.append(Block(" ".join(words), tuple(t for _, p in stack for t in p), next((tag for tag, _ in reversed(stack)), ""), linked))
+                found.append(Block(" ".join(words), stack[-1][1] if stack else root, stack[-1][0] if stack else "", linked))
             text.clear()
         linked = 0
 
     def close(upto: int) -> None:
         nonlocal hidden
-        hidden -= sum(tag in HIDDEN for tag, _ in stack[upto:])
+        for tag, _, _ in stack[upto:]:
+            hidden -= tag in HIDDEN
+            held[tag] -= 1
         del stack[upto:]
 
     def end_head() -> None:
@@ -92,29 +119,22 @@ def blocks(page: str) -> list[Block]:
         if breaks:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if held[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in VOID:
             continue
         if tag in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in ("td", "th", "table", "button", "object"):
-                    break
+            if stack and stack[-1][2] >= 0 and stack[stack[-1][2]][0] == "p":
+                close(stack[-1][2])
             links = 0
         if tag in ENDED_BY:
             ended, barrier = ENDED_BY[tag]
-            upto = len(stack)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in barrier:
-                    break
+            upto, i, left = len(stack), len(stack) - 1, sum(held[t] for t in ended)
+            while left and stack[i][0] not in barrier:
                 if stack[i][0] in ended:
-                    upto = i
+                    upto, left = i, left - 1
+                i -= 1
             close(upto)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -122,7 +142,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[3].rstrip().endswith("/") and hides:
             continue
-        stack.append((tag, path_tokens(tag, m[3])))
+        near = len(stack) if tag in P_ENDS else stack[-1][2] if stack else -1
+        stack.append((tag, Path(path_tokens(tag, m[3]), stack[-1][1] if stack else root), near))
+        held[tag] += 1
         hidden += hides
     if hidden and page[at:].strip():
         end_head()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import pick
 from .hashing import word_hashes
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Path, blocks
 
 PATH, LEAF, WORDS, PLAIN = 128, 24, 64, 8
 SIZE = PATH + LEAF + WORDS + PLAIN
@@ -29,13 +29,21 @@ def _token(token: str) -> tuple[int, float]:
     return h % PATH, 1.0 if h >> 16 & 1 else -1.0
 
 
-@lru_cache(maxsize=50_000)
-def _path(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH, np.float32)
-    for token in path:
-        i, sign = _token(token)
-        out[i] += sign
-    return np.clip(out, -2, 2)
+def _path(path: Path) -> np.ndarray:
+    """The hashed tokens of a path, added up once for every element."""
+    open_ = []
+    while path is not None and path.total is None:
+        open_.append(path)
+        path = path.parent
+    total = path.total if path is not None else np.zeros(PATH, np.float32)
+    for link in reversed(open_):
+        if link.own:
+            total = total.copy()
+        for token in link.own:
+            i, sign = _token(token)
+            total[i] += sign
+        link.total = total
+    return np.clip(total, -2, 2)
 
 
 def features(page: list[Block]) -> np.ndarray:
@@ -61,7 +69,7 @@ def features(page: list[Block]) -> np.ndarray:
     out[:, at + 3] = length / np.maximum(n, 1) / 10
     out[:, at + 4] = ["\xa9" in b.text or "(c)" in b.text for b in page]
     out[:, at + 5] = [b.text[-1] in ".!?" for b in page]
-    out[:, at + 6] = [len(b.path) / 10 for b in page]
+    out[:, at + 6] = [b.path.size / 10 for b in page]
     out[:, at + 7] = np.arange(len(page)) / max(len(page), 1)
     return out
 

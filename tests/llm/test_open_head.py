@@ -14,4 +14,4 @@ def test_an_open_head_ends_where_the_body_begins():
     assert seen(head + " one <p>two") == ["one", "two"] and seen(head + "one") == ["one"]
     assert seen(head + "<img src=x>one<select><option>no</select>") == ["one"]
     assert seen(head + "<noscript><p>no</p></noscript><template><div>no</div></template></head><body>one") == ["one"]
-    assert "head" not in blocks(head + "<body><p>one")[0].path
+    assert "head" not in blocks(head + "<body><p>one")[0].path.tokens()

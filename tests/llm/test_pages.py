@@ -1,9 +1,11 @@
 """URL rules and main text."""
 
+import time
+
 import pytest
 
 from tarnql.llm.html_blocks import blocks
-from tarnql.llm.html_extract import extract, trained
+from tarnql.llm.html_extract import extract, features, trained
 from tarnql.llm.url_filter import ALLOWED, BLOCKED, RULES, labelled_urls, url_filter
 
 PAGES = "page_id long, url string, html string, `HTML` int"
@@ -56,7 +58,7 @@ def test_blocks():
     assert seen('<a title="x > y">in</a> <p class=q>unfinished <foot') == ["in", "unfinished"]
     assert seen("<script>never closed <p>x") == [] and seen("<!-- open <p>x") == []
     page = blocks('<div id="Main-nav"><ul><li><a href=/>Home</a><li>x</ul></div>')
-    assert page[0].path == ("div", ".main", ".nav", "ul", "li") and page[0].linked == 4 and page[1].text == "x"
+    assert page[0].path.tokens() == ["div", ".main", ".nav", "ul", "li"] and page[0].linked == 4 and page[1].text == "x"
 
 
 ARTICLES = [
@@ -86,5 +88,17 @@ def test_main_text_of_the_test_pages(spark, model):
     html = {r.page_id: r.html for r in pages.collect()}
     right = 0
     for r in extract(pages, model).collect():
-        right += r.text == " ".join(b.text for b in blocks(html[r.page_id]) if "article" in b.path)
+        right += r.text == " ".join(b.text for b in blocks(html[r.page_id]) if "article" in b.path.tokens())
     assert right >= 0.98 * len(html)
+
+
+def test_cut_and_deep_pages_take_one_pass():
+    """A tag cut off after many attributes, and elements nested tens of thousands deep, cost in proportion to the page."""
+    began = time.process_time()
+    cut = "<p>kept</p><div " + " ".join(f'a{i}="x{i}"' for i in range(500))
+    assert [b.text for b in blocks(cut)] == ["kept"] and [b.text for b in blocks(cut + ' b="open')] == ["kept"]
+    assert time.process_time() - began < 1
+    page = blocks("<div class=d>x" * 50_000)
+    assert len(page) == 50_000 and page[-1].path.size == 100_000 and features(page).shape[0] == 50_000
+    assert len(blocks("<td><div>y" * 20_000)) == 20_000 and len(blocks("<p>z<table><div>" * 20_000)) == 20_000
+    assert time.process_time() - began < 30
