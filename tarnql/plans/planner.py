@@ -34,17 +34,18 @@ def plan(query: Query, rel: Relation, chunk: int = CHUNK) -> Relation:
         for c in columns:
             if rel.resolve(c.column) not in keys:
                 raise UnsupportedQueryError(f"column {c.column!r} is neither aggregated nor grouped by")
-        made = aggregate(rel, [Aggregate(c.function, rel.resolve(c.column) if c.column else -1, c.name) for c in calls], keys)
-        renamed = {c.column: c.alias for c in columns if c.alias}
-        names = [renamed.get(n, n) if i < len(keys) else n for i, n in enumerate(made.names)]
-        rel = Relation(made.df, tuple(names), made.kinds)
+        rel = aggregate(rel, [Aggregate(c.function, rel.resolve(c.column) if c.column else -1, c.name) for c in calls], keys)
     if query.order_by:
         rel = ordered(rel, [(_key(rel, name, columns), desc) for name, desc in query.order_by], chunk)
     if query.limit is not None:
         rel = limited(rel, query.limit, query.offset)
     elif query.offset:
         rel = rel.replaced(rel.df.offset(query.offset))
-    if grouped or stars:
+    if grouped:  # renamed last, so that ORDER BY sees a key by its own name too
+        renamed = {c.column: c.alias for c in columns if c.alias}
+        names = [renamed.get(n, n) if i < len(query.group_by) else n for i, n in enumerate(rel.names)]
+        return Relation(rel.df, tuple(names), rel.kinds)
+    if stars:
         return rel
     return project(rel, [rel.resolve(c.column) for c in columns], [c.name for c in columns])
 

@@ -16,6 +16,8 @@ from ..model import Kind, Relation
 #: Files up to this size are parsed whole: they fill one partition at most.
 WHOLE_BYTES = 32 << 20
 
+csv.field_size_limit(1 << 30)  # cells of any length that Spark reads
+
 _COERCE = {Kind.INT: coerce.to_int, Kind.FLOAT: coerce.to_float, Kind.STRING: coerce.to_text}
 
 
@@ -33,13 +35,13 @@ def _peek(spark: SparkSession, path: str) -> list[list[str]]:
     return [["" if c is None else c for c in r] for r in rows]
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
+def spans_lines(spark: SparkSession, paths: list[str]) -> bool:
     """Whether a quoted field may hold a line break: some line has an odd number of quotes. One pass for large inputs."""
-    local = path.removeprefix("file://")
-    if os.path.isfile(local) and os.path.getsize(local) <= WHOLE_BYTES:
+    local = paths[0].removeprefix("file://")
+    if len(paths) == 1 and os.path.isfile(local) and os.path.getsize(local) <= WHOLE_BYTES:
         return True
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(spark.read.text(path).filter(quotes % 2 == 1).head(1))
+    return bool(spark.read.text(paths).filter(quotes % 2 == 1).head(1))
 
 
 def read_text(spark: SparkSession, paths: list[str], width: int, multi_line: bool) -> DataFrame:
@@ -58,9 +60,9 @@ def scan(spark: SparkSession, path: str, multi_line: bool | None = None, only: l
 
     A column's kind comes from the first data row; later cells that do not parse become 0. Without data rows
     all columns are String. ``multi_line`` None decides by looking: a file without quoted line breaks is split
-    over tasks. ``only`` reads just these of the files (see ``zonemap``), with the schema of ``path``.
+    over tasks. ``only`` reads just these of the files (see ``zonemap``) and looks at no others; their first record gives the kinds.
     """
-    found = _peek(spark, path)
+    found = _peek(spark, only[0] if only else path)
     if not found:
         raise SourceError(f"{path!r} is empty: there is no header")
     header, first = found[0], found[1] if len(found) > 1 else None
@@ -70,6 +72,6 @@ def scan(spark: SparkSession, path: str, multi_line: bool | None = None, only: l
     if only is not None and not only:
         schema = T.StructType([T.StructField(f"_{i}", k.spark) for i, k in enumerate(kinds)])
         return Relation(spark.createDataFrame([], schema), tuple(header), kinds)
-    text = read_text(spark, only or [path], len(header), spans_lines(spark, path) if multi_line is None else multi_line)
+    text = read_text(spark, only or [path], len(header), spans_lines(spark, only or [path]) if multi_line is None else multi_line)
     typed = text.select(*[_COERCE[k](F.col(f"_{i}")).alias(f"_{i}") for i, k in enumerate(kinds)])
     return Relation(typed, tuple(header), kinds)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +71,7 @@ def zone_maps(spark: SparkSession, path: str) -> list[ZoneMap]:
         raise SourceError(f"{path!r} is empty: there is no header")
     header = found[0]
     ints = [i for i, c in enumerate(found[1]) if coerce.infer(c) is Kind.INT] if len(found) > 1 else []
-    text = read_text(spark, [path], len(header), spans_lines(spark, path))
+    text = read_text(spark, [path], len(header), spans_lines(spark, [path]))
     values = [F.count(F.lit(1)).alias("n")]
     for i in ints:
         cell = F.col(f"_{i}")
@@ -77,7 +79,7 @@ def zone_maps(spark: SparkSession, path: str) -> list[ZoneMap]:
     rows = text.groupBy(F.col("_metadata.file_path").alias("file")).agg(*values).orderBy("file").toLocalIterator()
     maps = []
     for r in rows:
-        zm = ZoneMap(r["file"], r["n"])
+        zm = ZoneMap(unquote(r["file"]), r["n"])
         for i in (i for i in ints if r[f"ok{i}"]):
             zm.min_values.setdefault(header[i], r[f"lo{i}"])
             zm.max_values.setdefault(header[i], r[f"hi{i}"])
@@ -97,7 +99,7 @@ def pruned_scan(spark: SparkSession, path: str, comparisons: list[tuple[str, Com
     from ..operators.filter import filtered
 
     maps = zone_maps(spark, path) if maps is None else maps
-    kept = [m.filename for m in maps if not any(m.can_prune(*c) for c in comparisons)]
+    kept = [re.sub(r"([\\\[\]{}*?])", r"\\\1", m.filename) for m in maps if not any(m.can_prune(*c) for c in comparisons)]
     rel = scan(spark, path, only=kept)
     return filtered(rel, *[Comparison(rel.resolve(name), op, value) for name, op, value in comparisons])
 

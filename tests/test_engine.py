@@ -57,7 +57,7 @@ def test_number_grammar(spark, csv, cell, kind):
 def test_spark_coercion_follows_the_grammar(spark, csv):
     path = csv("i,f\n1,1.0\n 5,1d\n+7,.5\n1e3,1e400\n9223372036854775808,0x1p4\n-2,-Infinity\n")
     got = rows(scan(spark, path).frame())
-    assert got == [(1, 1.0), (0, 0.0), (7, 0.5), (0, 0.0), (0, 0.0), (-2, -math.inf)] or got[4][1] == 16.0
+    assert got == [(1, 1.0), (0, 0.0), (7, 0.5), (0, 0.0), (0, 16.0), (-2, -math.inf)]
 
 
 def test_empty_text_is_a_value(spark, csv):
@@ -230,3 +230,30 @@ def test_command_line(spark, csv, capsys):
 def test_table_writer(spark, capsys):
     assert write_table(spark.createDataFrame([(None, 1.5)], "a string, b double")) == 1
     assert capsys.readouterr().out == "a\tb\n" + "-" * 11 + "\nNULL\t1.5\n(1 rows)\n"
+
+
+def test_count_of_a_literal_counts_rows(spark, csv):
+    path = csv("a,b\n1,x\n2,y\n")
+    assert rows(sql(spark, f"SELECT COUNT(1) AS n, COUNT('x') FROM `{path}`"))[0][0] == 2
+
+
+def test_order_by_a_renamed_key(spark, csv):
+    path = csv("c,v\ny,2\nx,1\ny,3\n")
+    for name in ("c", "k"):
+        assert rows(sql(spark, f"SELECT c AS k, COUNT(*) AS n FROM `{path}` GROUP BY c ORDER BY {name}")) == [("x", 1), ("y", 2)]
+
+
+def test_long_first_cell(spark, csv):
+    path = csv("a,b\n" + "x" * 200_000 + ",1\n")
+    assert rows(sql(spark, f"SELECT b FROM `{path}`")) == [(1,)]
+
+
+def test_pruned_files_are_never_read(spark, tmp_path):
+    """In a folder with a blank in its name: the pruned file is gone, and the scan still answers."""
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    (folder / "p1.csv").write_text("id\n1\n5\n")
+    (folder / "p2.csv").write_text("id\n10\n20\n")
+    maps = zone_maps(spark, str(folder))
+    (folder / "p1.csv").unlink()
+    assert sorted(rows(pruned_scan(spark, str(folder), [("id", Comparator.GT, 7)], maps).frame())) == [(10,), (20,)]
