@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,6 +98,13 @@ def _estimate(rows: DataFrame) -> DataFrame:
     return out.select("gid", *[f"m_{a}" for a in STATS], *[f"l_{a}_{b}" for i, a in enumerate(STATS) for b in STATS[: i + 1]])
 
 
+def _moved(before: DataFrame, after: DataFrame, least: float = 1e-6) -> DataFrame:
+    """Groups whose estimates differ by more than rounding."""
+    values = [c for c in before.columns if c != "gid"]
+    both = after.join(before.select("gid", *[F.col(c).alias(f"_{c}") for c in values]), "gid")
+    return both.filter(F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in values]) > least).select("gid")
+
+
 def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Adds ``distance``, the squared Mahalanobis distance to the row's group."""
     out, keep = rows.join(estimates, "gid"), [*rows.columns, "distance"]
@@ -111,16 +119,17 @@ def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return out.withColumn("distance", total).select(*keep)
 
 
-def quality(docs: DataFrame, least_group: int = 50, share: float = 0.75, steps: int = 3, limit: float = 1 - 1e-5) -> DataFrame:
+def quality(docs: DataFrame, least_group: int = 50, share: float = 0.75, steps: int = 25, limit: float = 1 - 1e-5) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     base_failed: fewer than 10 words, or more than a fifth of them in windows of five words that the text repeats. The
     others are judged against texts of their language and source: location and scatter come from the ``share`` of the
     group that lies closest together (minimum covariance determinant, by concentration steps from the group's
-    medians), and a text is rejected whose squared distance, scaled down where the group's median exceeds that of the chi-square
+    medians, repeated until no estimate moves, ``steps`` at most, beyond which a warning says so), and a text is rejected whose squared distance, scaled down where the group's median exceeds that of the chi-square
     distribution, exceeds its quantile ``limit``. A group of under ``least_group`` texts is judged as its language, a small
     language as the whole table; if that is small too, nothing is rejected but by the base. Null languages and sources
-    are groups. ``distance`` is null where nothing was judged. A null text has no words. Repeated rows count each.
+    are groups. ``distance`` is null where nothing was judged. A null text has no words, texts of any length are read whole, repeated rows count each, rows that tie are judged alike, columns that clash
+    with those used do not matter, and an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = text_stats(pick(docs, "doc_id", "lang", "source", "text"))
@@ -145,12 +154,18 @@ def quality(docs: DataFrame, least_group: int = 50, share: float = 0.75, steps:
     for a in STATS:
         spread = spread + ((F.col(a) - F.col(f"m_{a}")) / FLOORS[a]) ** 2
     near = start.withColumn("distance", spread).select("gid", *STATS, "distance")
+    estimates = None
     for step in range(steps):
         near = scratch.save(near, f"near-{step}")
         edges = scratch.save(_lower_part(near, share), f"edges-{step}")
         close = near.join(edges, "gid").filter(_bins(F.col("distance")) <= F.col("edge"))
-        estimates = scratch.save(_estimate(close), f"estimates-{step}")
+        before, estimates = estimates, scratch.save(_estimate(close), f"estimates-{step}")
         near = _distances(rows, estimates)
+        scratch.drop(*[f"{name}-{step}" for name in ("near", "edges")])
+        if before is not None and not _moved(before, estimates).head(1):
+            break
+    else:
+        warnings.warn(f"some groups' estimates still move after {steps} concentration steps", stacklevel=2)
     scale = _lower_part(near, 0.5).select("gid", (F.exp((F.col("edge") + 1) / 512.0) - 1).alias("median"))
     final = scratch.save(estimates.join(scale, "gid"), "final")
 
