@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import keep_some
@@ -114,11 +114,12 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compact(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Nonbranching paths of a graph (span, next): rows (span, path, place) for every span with a predecessor on its path.
 
-    A link counts if its tail has one successor and its head one predecessor. Pointer doubling finds the first span of
+    A link counts if its tail has one successor and its head one predecessor. A null stands for an end: a span that
+    stops or starts somewhere has one neighbour more there. Pointer doubling finds the first span of
     each path: each round joins the open pointers with all, and doubles the steps they reach back, so a path of n spans
     takes log2 n rounds. Spans of a closed ring have no first one; they stay paths of their own.
     """
-    out = links.groupBy("span").agg(F.count("*").alias("n"), F.min("next").alias("next")).filter("n = 1")
+    out = links.groupBy("span").agg(F.count("*").alias("n"), F.min("next").alias("next")).filter("n = 1 and span is not null")
     into = links.groupBy("next").agg(F.count("*").alias("n")).filter("n = 1").select("next")
     back = out.join(into, "next").select(F.col("next").alias("span"), F.col("span").alias("path"), F.lit(1).cast("long").alias("place"))
     state, done, step = scratch.save(back, "back-0"), None, 0
@@ -142,7 +143,9 @@ def repeated_ranges(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame
 
     ``docs`` has doc_id, text_hash and text. Runs of windows whose minimizer occurs once are unique. Of the rest, a run
     that occurs twice or more with the same words is repeated whole; those are the repeated edges of the graph, and
-    their nonbranching paths are compacted, so a repeated passage is one range per occurrence however long. Where
+    their nonbranching paths are compacted. As ends of passages count as branches, whoever holds a path's first run holds
+    the whole path: each occurrence of that run is a range as long as the path, and its words are compared with the other
+    occurrences' at their source coordinates. Where
     runs share a minimizer but not all their words, a passage begins or ends inside them: one occurrence of each such
     run is read again at its source coordinates, and its windows are compared one by one.
     """
@@ -168,16 +171,48 @@ def repeated_ranges(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame
     edges = windows.filter("weight = 1").join(twice, "name").select(*key, "start", (F.col("start") + window).alias("end"), F.lit(None).cast("long").alias("path"))
 
     order = Window.partitionBy(*key).orderBy("ord")
-    steps = whole.withColumns({"next": F.lead("span").over(order), "after": F.lead("ord").over(order)})
-    links = scratch.save(steps.filter(F.col("after") == F.col("ord") + 1).select("span", "next").distinct(), "links")
-    paths = compact(links, scratch).withColumnRenamed("span", "_span")
-    placed = whole.join(paths, F.col("span") == F.col("_span"), "left").select(
-        *key, "ord", "lo", "hi", F.coalesce("path", "span").alias("path"), F.coalesce("place", F.lit(0)).alias("place")
-    )
-    going = (F.lag("path").over(order) == F.col("path")) & (F.lag("ord").over(order) == F.col("ord") - 1) & (F.lag("place").over(order) == F.col("place") - 1)
-    islands = placed.withColumn("new", F.when(F.coalesce(going, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
-    long = islands.groupBy(*key, "island").agg(F.min("lo").alias("start"), (F.max("hi") + window).alias("end"), F.first("path").alias("path")).drop("island")
-    return long.unionByName(edges)
+
+    def beside(other: Callable[[str], Column], step: int) -> Column:
+        return F.when(other("ord").over(order) == F.col("ord") + step, other("span").over(order))
+
+    steps = whole.select("span", beside(F.lead, 1).alias("next"), beside(F.lag, -1).alias("last"))
+    links = scratch.save(steps.select("span", "next").union(steps.filter("last is null").select("last", "span")).distinct(), "links")
+    sizes = whole.groupBy("span").agg(F.min(F.col("hi") - F.col("lo") + 1).alias("size"))
+    paths = compact(links, scratch).select(F.col("span").alias("_span"), "path")
+    paths = sizes.join(paths, F.col("span") == F.col("_span"), "left").groupBy(F.coalesce("path", "span").alias("path")).agg(F.sum("size").alias("size"))
+    paths = scratch.save(paths, "paths")
+    claims = whole.join(paths, F.col("span") == F.col("path")).select(*key, F.col("lo").alias("start"), (F.col("lo") + F.col("size") - 1 + window).cast("int").alias("end"), "path")
+    return verified(docs, scratch.save(claims, "claims"), scratch).unionByName(edges)
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, text, claims) to a row for each claim: (doc_id, text_hash, start, end, path, digest of its words)."""
+    for batch in batches:
+        rows, claims, digests = [], [], []
+        for i, (text, wanted) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            words = (text.as_py() or "").encode().split()
+            for claim in wanted.as_py():
+                rows.append(i)
+                claims.append(claim)
+                digests.append(hashlib.blake2b(b" ".join(words[claim["start"] : claim["end"]]), digest_size=16).digest())
+        at = pa.array(rows, pa.int64())
+        columns = [pa.array([c[k] for c in claims], t) for k, t in (("start", pa.int32()), ("end", pa.int32()), ("path", pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns, pa.array(digests, pa.binary())], ["doc_id", "text_hash", "start", "end", "path", "digest"])
+
+
+def verified(docs: DataFrame, claims: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of ``claims`` (doc_id, text_hash, start, end, path) those whose words, read at these coordinates, stand at another claim of the path.
+
+    A row that the table repeats is another place. Only claims that no other one bears out are joined out, so a path with
+    many occurrences meets nothing.
+    """
+    wanted = claims.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end", "path")).alias("wanted"))
+    wanted = scratch.save(wanted.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "wanted")
+    some = keep_some(docs, F.xxhash64("doc_id", "text_hash"), wanted, F.xxhash64("_id", "_hash"))
+    read = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "text", "wanted")
+    spelled = scratch.save(read.mapInArrow(tidy(_spelled), "doc_id long, text_hash long, start int, end int, path long, digest binary"), "spelled")
+    alone = scratch.save(spelled.groupBy("path", "digest").agg(F.count("*").alias("n")).filter("n = 1").select("path", "digest"), "alone")
+    return spelled.join(alone, ["path", "digest"], "left_anti").select("doc_id", "text_hash", "start", "end", "path").distinct()
 
 
 def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -186,8 +221,9 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     Words are maximal runs of characters that are not ASCII white space; a null text has none. A word goes if any
     ``window`` consecutive words that hold it also start elsewhere, in this document or another; windows are judged
     on the input. kept_sha256 is of the words left, joined by one blank (of none: of the empty string). Documents with
-    fewer words lose nothing. Rows repeated with the same doc_id and text are occurrences of each other. Words,
-    windows and runs are compared by 64-bit hashes.
+    fewer words lose nothing. Rows repeated with the same doc_id and text are occurrences of each other. Texts of any
+    length are read whole, columns that clash with those used do not matter, and an empty table gives an empty result. Words,
+    windows and runs are found by 64-bit hashes; passages of whole runs are verified by their words.
     """
     if window < MARK:
         raise ValueError(f"a window has at least {MARK} words")
@@ -196,6 +232,6 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     ranges = repeated_ranges(source, window, scratch)
     each = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     each = scratch.save(each.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "ranges")
-    scratch.drop("runs", "marks", "some", "spans", "whole", "read", "windows", "links")
+    scratch.drop("runs", "marks", "some", "spans", "whole", "read", "windows", "links", "paths", "claims", "wanted", "spelled", "alone")
     found = source.join(each, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     return found.select("doc_id", "text", "ranges").mapInArrow(tidy(_strip), "doc_id long, n_words long, n_removed long, kept_sha256 string")
