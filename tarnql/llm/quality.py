@@ -13,6 +13,8 @@ from .common import GAP, Scratch, pick
 #: Least standard deviation of each statistic: a group in which nearly all texts agree must not reject the first other one.
 FLOORS = {"length": 0.6, "letters": 0.12, "symbols": 0.08, "lines": 0.5, "repeats": 0.12, "capitals": 0.5}
 STATS = list(FLOORS)
+#: A concentration step must lower the logarithm of a group's determinant by more than this, or the group is done.
+FALL = 1e-3
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def _lower_part(rows: DataFrame, share: float) -> DataFrame:
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of each group: (gid, m_i, l_i_j)."""
+    """Mean, Cholesky factor and logarithm of the determinant of the covariance of each group: (gid, m_i, l_i_j, logdet)."""
     sums = [F.count("*").alias("n"), *[F.avg(a).alias(f"m_{a}") for a in STATS]]
     sums += [F.avg(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for i, a in enumerate(STATS) for b in STATS[: i + 1]]
     out = rows.groupBy("gid").agg(*sums)
@@ -95,14 +97,10 @@ def _estimate(rows: DataFrame) -> DataFrame:
                 value = value - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
             floor = FLOORS[a] ** 2
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(value, F.lit(0.0)) + floor) if i == j else value / F.col(f"l_{b}_{b}"))
-    return out.select("gid", *[f"m_{a}" for a in STATS], *[f"l_{a}_{b}" for i, a in enumerate(STATS) for b in STATS[: i + 1]])
-
-
-def _moved(before: DataFrame, after: DataFrame, least: float = 1e-6) -> DataFrame:
-    """Groups whose estimates differ by more than rounding."""
-    values = [c for c in before.columns if c != "gid"]
-    both = after.join(before.select("gid", *[F.col(c).alias(f"_{c}") for c in values]), "gid")
-    return both.filter(F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in values]) > least).select("gid")
+    logdet = F.lit(0.0)
+    for a in STATS:
+        logdet = logdet + 2 * F.log(f"l_{a}_{a}")
+    return out.select("gid", *[f"m_{a}" for a in STATS], *[f"l_{a}_{b}" for i, a in enumerate(STATS) for b in STATS[: i + 1]], logdet.alias("logdet"))
 
 
 def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -125,7 +123,7 @@ def quality(docs: DataFrame, least_group: int = 50, share: float = 0.75, steps:
     base_failed: fewer than 10 words, or more than a fifth of them in windows of five words that the text repeats. The
     others are judged against texts of their language and source: location and scatter come from the ``share`` of the
     group that lies closest together (minimum covariance determinant, by concentration steps from the group's
-    medians, repeated until no estimate moves, ``steps`` at most, beyond which a warning says so), and a text is rejected whose squared distance, scaled down where the group's median exceeds that of the chi-square
+    medians; the estimate of least determinant stays, and a group is done when a step no longer lowers it; ``steps`` at most, beyond which a warning says so), and a text is rejected whose squared distance, scaled down where the group's median exceeds that of the chi-square
     distribution, exceeds its quantile ``limit``. A group of under ``least_group`` texts is judged as its language, a small
     language as the whole table; if that is small too, nothing is rejected but by the base. Null languages and sources
     are groups. ``distance`` is null where nothing was judged. A null text has no words, texts of any length are read whole, repeated rows count each, rows that tie are judged alike, columns that clash
@@ -154,18 +152,25 @@ def quality(docs: DataFrame, least_group: int = 50, share: float = 0.75, steps:
     for a in STATS:
         spread = spread + ((F.col(a) - F.col(f"m_{a}")) / FLOORS[a]) ** 2
     near = start.withColumn("distance", spread).select("gid", *STATS, "distance")
-    estimates = None
+    best = None
     for step in range(steps):
         near = scratch.save(near, f"near-{step}")
         edges = scratch.save(_lower_part(near, share), f"edges-{step}")
         close = near.join(edges, "gid").filter(_bins(F.col("distance")) <= F.col("edge"))
-        before, estimates = estimates, scratch.save(_estimate(close), f"estimates-{step}")
-        near = _distances(rows, estimates)
+        lower = _estimate(close)
+        if best is not None:
+            was = best.select("gid", F.col("logdet").alias("_was"))
+            lower = lower.join(was, "gid").filter(F.col("logdet") < F.col("_was") - FALL).drop("_was")
+        lower = scratch.save(lower, f"lower-{step}")
         scratch.drop(*[f"{name}-{step}" for name in ("near", "edges")])
-        if before is not None and not _moved(before, estimates).head(1):
+        if not lower.head(1):
             break
+        best = scratch.save(lower if best is None else best.join(lower.select("gid"), "gid", "left_anti").union(lower), f"best-{step}")
+        near = _distances(rows, lower)  # the groups whose determinant still falls
     else:
-        warnings.warn(f"some groups' estimates still move after {steps} concentration steps", stacklevel=2)
+        warnings.warn(f"some groups' determinants still fall after {steps} concentration steps", stacklevel=2)
+    estimates = (best if best is not None else lower).drop("logdet")
+    near = _distances(rows, estimates)
     scale = _lower_part(near, 0.5).select("gid", (F.exp((F.col("edge") + 1) / 512.0) - 1).alias("median"))
     final = scratch.save(estimates.join(scale, "gid"), "final")
 
