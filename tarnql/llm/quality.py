@@ -86,7 +86,7 @@ def _lower_part(rows: DataFrame, share: float) -> DataFrame:
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean, Cholesky factor and logarithm of the determinant of the covariance of each group: (gid, m_i, l_i_j, logdet)."""
+    """Mean and Cholesky factor of the covariance of each group: (gid, m_i, l_i_j)."""
     sums = [F.count("*").alias("n"), *[F.avg(a).alias(f"m_{a}") for a in STATS]]
     sums += [F.avg(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for i, a in enumerate(STATS) for b in STATS[: i + 1]]
     out = rows.groupBy("gid").agg(*sums)
@@ -97,10 +97,15 @@ def _estimate(rows: DataFrame) -> DataFrame:
                 value = value - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
             floor = FLOORS[a] ** 2
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(value, F.lit(0.0)) + floor) if i == j else value / F.col(f"l_{b}_{b}"))
-    logdet = F.lit(0.0)
+    return out.select("gid", *[f"m_{a}" for a in STATS], *[f"l_{a}_{b}" for i, a in enumerate(STATS) for b in STATS[: i + 1]])
+
+
+def _logdet(estimates: DataFrame) -> DataFrame:
+    """Adds ``logdet``, the logarithm of the covariance's determinant, to a table of estimates."""
+    total = F.lit(0.0)
     for a in STATS:
-        logdet = logdet + 2 * F.log(f"l_{a}_{a}")
-    return out.select("gid", *[f"m_{a}" for a in STATS], *[f"l_{a}_{b}" for i, a in enumerate(STATS) for b in STATS[: i + 1]], logdet.alias("logdet"))
+        total = total + 2 * F.log(f"l_{a}_{a}")
+    return estimates.withColumn("logdet", total)
 
 
 def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -157,12 +162,12 @@ def quality(docs: DataFrame, least_group: int = 50, share: float = 0.75, steps:
         near = scratch.save(near, f"near-{step}")
         edges = scratch.save(_lower_part(near, share), f"edges-{step}")
         close = near.join(edges, "gid").filter(_bins(F.col("distance")) <= F.col("edge"))
-        lower = _estimate(close)
+        lower = _logdet(scratch.save(_estimate(close), f"made-{step}"))  # a table first, or the filter below is put into the factor's expressions
         if best is not None:
             was = best.select("gid", F.col("logdet").alias("_was"))
             lower = lower.join(was, "gid").filter(F.col("logdet") < F.col("_was") - FALL).drop("_was")
         lower = scratch.save(lower, f"lower-{step}")
-        scratch.drop(*[f"{name}-{step}" for name in ("near", "edges")])
+        scratch.drop(*[f"{name}-{step}" for name in ("near", "edges", "made")])
         if not lower.head(1):
             break
         best = scratch.save(lower if best is None else best.join(lower.select("gid"), "gid", "left_anti").union(lower), f"best-{step}")
