@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .hashing import tidy
 
 #: Bits of a slice, the unit in which tasks report what they have seen.
 SLICE = 1 << 16
@@ -98,7 +99,7 @@ def size_for(rows: int, bits_per_row: int, max_bits: int) -> int:
 def fill(prints: DataFrame, bits: int, least: int = 1) -> bytes:
     """The filter of the fingerprints in the one column of ``prints``, of numbers or arrays of them: bits set ``least`` (1 or 2) times
     or more."""
-    told = prints.mapInArrow(_seen(bits), "slice int, once binary, again binary")
+    told = prints.mapInArrow(tidy(_seen(bits)), "slice int, once binary, again binary")
     scratch = Scratch(prints.sparkSession, "filter")
     slices = scratch.save(told.groupBy(F.shiftright("slice", 3)).applyInPandas(_merge(least), "slice int, plane binary"), "slices")
     plane = bytearray(bits // 8)
@@ -149,7 +150,7 @@ def repeated_keys(rows: DataFrame, bits_per_key: int = 8, max_bits: int = 1 << 2
     bits = size_for(n, bits_per_key, max_bits)
     shared = rows.sparkSession.sparkContext.broadcast(fill(rows.select("keys"), bits, least=2))
     others = [c for c in rows.columns if c != "keys"]
-    return rows.select("keys", *others).mapInArrow(_survivors(shared, bits), ", ".join(["key long", *[f"{c} long" for c in others]]))
+    return rows.select("keys", *others).mapInArrow(tidy(_survivors(shared, bits)), ", ".join(["key long", *[f"{c} long" for c in others]]))
 
 
 def keep_some(df: DataFrame, key: Column, others: DataFrame, other_key: Column, bits_per_row: int = 16, max_bits: int = 1 << 27) -> DataFrame:

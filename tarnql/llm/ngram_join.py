@@ -29,6 +29,10 @@ def classes(percent: int) -> np.ndarray:
 
 #: Sets that share a fragment are paired out if they are so many at most; larger groups are searched by rarest n-grams.
 PAIRED = 16
+#: Documents signed at once.
+ROWS = 1000
+#: Words of sketches compared at once.
+LOT = 1 << 18
 
 
 def _node(grams: np.ndarray) -> int:
@@ -67,26 +71,76 @@ def fragment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of the n-grams falls into each of 64, 128, 256 ... places, as many as there are n-grams or more.
+
+    An n-gram that only one of two sets has turns one place, so sets differ in at least as many n-grams as in places.
+    """
+    bits = max(64, 1 << (len(grams) - 1).bit_length())
+    count = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _within(percent: int):
+    """(a, b, na, nb, sketch of a, sketch of b) to the pairs (a, b) whose sketches leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            words = [batch.column(c).value_lengths().to_numpy() for c in (4, 5)]
+            flat = [batch.column(c).flatten().to_numpy() for c in (4, 5)]
+            start = [np.cumsum(w) - w for w in words]
+            turned = np.zeros(len(sizes), np.int64)
+            for x, y in set(zip(*map(np.ndarray.tolist, words), strict=True)):
+                at = np.flatnonzero((words[0] == x) & (words[1] == y))
+                least, some = min(x, y), max(1, LOT // max(x, y))
+                for i in range(0, len(at), some):
+                    own = at[i : i + some]
+                    folded = [np.bitwise_xor.reduce(f[s[own][:, None] + np.arange(w)].reshape(len(own), w // least, least), axis=1) for f, s, w in zip(flat, start, (x, y), strict=True)]
+                    turned[own] = np.bitwise_count((folded[0] ^ folded[1]).view(np.uint64)).sum(axis=1)
+            near = pa.array((100 + percent) * turned <= (100 - percent) * sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in (0, 1)], ["a", "b"])
+
+    return tidy(run)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their sketches: none that links is left out, and few others stay."""
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(_within(percent), "a long, b long")
+
+
 def _gram_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
     for first, offsets, words in word_hashes(batch.column(1), lower=True):
         for i in range(len(offsets) - 1):
             yield first + i, shingles(words[offsets[i] : offsets[i + 1]], width)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def _signed(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, size, keys = [], [], []
-            for _, grams in _gram_sets(batch, width):
-                node.append(_node(grams) if len(grams) else None)
-                size.append(len(grams))
-                keys.append(fragment_keys(grams, percent).view(np.int64) if len(grams) else np.zeros(0, np.int64))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *batch.columns[2:]],
-                ["doc_id", "node", "n", "keys", *batch.schema.names[2:]],
-            )
+        for large in batches:
+            for at in range(0, large.num_rows, ROWS):
+                batch, node, size, keys, marks = large.slice(at, ROWS), [], [], [], []
+                for _, grams in _gram_sets(batch, width):
+                    node.append(_node(grams) if len(grams) else None)
+                    size.append(len(grams))
+                    keys.append(fragment_keys(grams, percent).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+                    marks.append(sketch(grams) if len(grams) else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), _lists(keys), _lists(marks), *batch.columns[2:]],
+                    ["doc_id", "node", "n", "keys", "sketch", *batch.schema.names[2:]],
+                )
 
     return tidy(run)
 
@@ -133,8 +187,7 @@ def _linked(pairs: DataFrame, fragments: DataFrame, percent: int, scratch: Scrat
     """
     room = (100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))
     first = scratch.save(_overlaps(pairs, fragments.filter("fragment = 0")).filter(room), f"{name}-open")
-    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rest = _overlaps(first.select("a", "b"), keep_some(fragments.filter("fragment > 0"), F.col("node"), ends, F.col("node")))
+    rest = _overlaps(first.select("a", "b"), keep_some(fragments.filter("fragment > 0"), F.col("node"), _ends(first), F.col("node")))
     total = first.union(rest).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
     return total.filter(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
@@ -173,14 +226,15 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
 
     1. Equal sets become one node. 2. Nodes that share a fragment name (see ``fragment_keys``) are candidates:
     each is tested against the most central node it meets, the one that shares most with others, which joins most of a
-    group of near copies without pairing its members. 3. Only where a fragment's nodes then still lie in several components, the rest is
+    group of near copies without pairing its members. Sketches (see ``sketch``) rule out most candidates, and sets are cut only for the
+    rest. 3. Only where a fragment's nodes then still lie in several components, the rest is
     searched by rarest n-grams, across components only. Pairs within a component need no test. No pair that
     links is missed, and no group is capped. N-grams are 64-bit hashes; sets are named by 64 bits. ``carry_row`` adds
     ``row``, the name of doc_id and text together.
     """
     scratch = Scratch(docs.sparkSession, "ngrams")
     wide = pick(docs, "doc_id", "text").withColumn("row", _row())
-    signed = scratch.save(wide.mapInArrow(_signed(width, percent), "doc_id long, node long, n long, keys array<long>, row long"), "signed")
+    signed = scratch.save(wide.mapInArrow(_signed(width, percent), "doc_id long, node long, n long, keys array<long>, sketch array<long>, row long"), "signed")
     named = scratch.save(repeated_keys(signed.select("keys", "node", "n")), "named")
     rows = scratch.save(signed.drop("keys"), "rows")
     scratch.drop("signed")  # the keys are most of it
@@ -188,37 +242,49 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, parts: int =
     held = scratch.save(named.join(repeated, "key").distinct(), "held")
     scratch.drop("named")
     nodes = scratch.save(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
-    need = scratch.save(nodes.join(held.select("node").distinct(), "node", "left_semi").select("row"), "need")
-    cut = keep_some(wide, F.col("row"), need, F.col("row")).select("doc_id", "text").mapInArrow(_fragments(width, parts), "node long, n long, fragment int, grams array<long>")
-    fragments = scratch.save(cut, "fragments", by="fragment")
+    central = scratch.save(held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("weight")), "central")
+    sketches = scratch.save(rows.join(central, "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
+
+    def cut(some: DataFrame, name: str) -> DataFrame:
+        """The fragments of some nodes, and of few others."""
+        need = scratch.save(nodes.join(some, "node", "left_semi").select("row"), f"{name}-need")
+        made = keep_some(wide, F.col("row"), need, F.col("row")).select("doc_id", "text").mapInArrow(_fragments(width, parts), "node long, n long, fragment int, grams array<long>")
+        return scratch.save(made, name, by="fragment")
 
     near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    central = held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("weight"))
     centre = held.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("centre"))
     met = held.join(scratch.save(centre, "centre"), "key").withColumn("m", F.col("centre.n")).filter(near)
     best = met.groupBy("node").agg(F.max("centre")["node"].alias("centre"))
     stars = best.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    stars = scratch.save(_close(stars, sketches, percent), "stars")
+    fragments = cut(_ends(stars), "fragments")
     first = scratch.save(_linked(stars, fragments, percent, scratch, "stars"), "first")
+    scratch.drop("fragments")
     joined = scratch.save(components(first, scratch, "one"), "joined")
     placed = held.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     placed = scratch.save(placed, "placed")
-    scratch.drop("held", "centre")
+    scratch.drop("held", "central", "centre")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
     mixed = scratch.save(mixed.select("key", "size"), "mixed")
     some = placed.join(mixed.filter(F.col("size") <= PAIRED).select("key"), "key")
     other = some.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     small = some.join(other, "key").filter((F.col("component") < F.col("other")) & near).select(F.col("node").alias("a"), "b")
+    small = scratch.save(_close(small.distinct(), sketches, percent), "small")
     active = placed.join(mixed.filter(F.col("size") > PAIRED).select("key"), "key", "left_semi").select("node", "component").distinct()
     active = scratch.save(active, "active")
-    sets = scratch.save(keep_some(fragments, F.col("node"), active, F.col("node")).join(active, "node").dropDuplicates(["node", "fragment"]), "sets")
-    pairs = scratch.save(small.union(_rare_pairs(sets, percent)).distinct(), "pairs")
+    scratch.drop("placed", "mixed")
+    fragments = cut(_ends(small).union(active.select("node")), "more")
+    sets = keep_some(fragments, F.col("node"), active, F.col("node")).join(active, "node").dropDuplicates(["node", "fragment"])
+    large = _close(_rare_pairs(scratch.save(sets, "sets"), percent), sketches, percent)
+    pairs = scratch.save(small.union(large).distinct(), "pairs")
+    scratch.drop("sets", "small", "active")
     second = _linked(pairs, fragments, percent, scratch, "pairs")
     final = scratch.save(components(first.union(second), scratch, "two"), "final")
 
     labelled = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     known = scratch.save(labelled.join(ids, "component").select("node", "component_id"), "known")
-    scratch.drop("need", "nodes", "fragments", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final", "stars-open", "pairs-open")
+    scratch.drop("nodes", "sketches", "stars", "fragments-need", "more-need", "more", "first", "joined", "pairs", "final", "stars-open", "pairs-open")
     return rows.join(known, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *["row"] * carry_row
     )
