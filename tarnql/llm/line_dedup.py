@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .bloom import fill, holds, keep_some, repeated_keys, size_for
 from .common import Scratch, components, pick
 from .hashing import _INVERSE, _P, STEP, _table, distinct, mix, tidy
-from .ngram_join import _rare_pairs
+from .ngram_join import _ends, _rare_pairs
 
 #: Characters of a shingle.
 WIDTH = 5
@@ -292,13 +292,16 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     best = met.filter(_near(percent)).groupBy("node").agg(F.max("centre")["node"].alias("centre")).filter("node <> centre")
     stars = scratch.save(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), "stars")
 
-    need = signs.select("node")
-    bits = size_for(need.count(), 16, 1 << 27)
-    shared = docs.sparkSession.sparkContext.broadcast(fill(need, bits))
-    lines = source.select("text").mapInArrow(tidy(_wanted(shared, bits)), "node long, line binary")
-    lines = scratch.save(lines.join(need, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    def read(some: DataFrame, name: str) -> DataFrame:
+        """The lines of some nodes."""
+        need = scratch.save(some, f"{name}-need")
+        bits = size_for(need.count(), 16, 1 << 27)
+        shared = docs.sparkSession.sparkContext.broadcast(fill(need, bits))
+        lines = source.select("text").mapInArrow(tidy(_wanted(shared, bits)), "node long, line binary")
+        return scratch.save(lines.join(need, "node", "left_semi").dropDuplicates(["node"]), name)
 
-    first = scratch.save(_tested(stars, lines, percent), "first")
+    first = scratch.save(_tested(stars, read(_ends(stars), "texts"), percent), "first")
+    scratch.drop("texts")
     joined = scratch.save(components(first, scratch, "one"), "joined")
     placed = scratch.save(held.join(joined, "node", "left").select("key", "node", "n", "x", "y", F.coalesce("component", "node").alias("component")), "placed")
     scratch.drop("known", "centre")
@@ -309,6 +312,8 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     small = some.join(other, "key").filter((F.col("component") < F.col("component2")) & _near(percent)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     active = placed.join(mixed.filter(F.col("size") > PAIRED).select("key"), "key", "left_semi").select("node", "component").distinct()
     active = scratch.save(active, "active")
+    small = scratch.save(small.distinct(), "small")
+    lines = read(_ends(small).union(active.select("node")).distinct(), "more")
     sets = keep_some(lines, F.col("node"), active, F.col("node")).join(active, "node").select("node", "component", "line").mapInArrow(tidy(_sets), "node long, component long, n long, grams array<long>")
     large = _rare_pairs(scratch.save(sets, "sets"), percent).join(signs.select(F.col("node").alias("a"), "n", "x", "y"), "a")
     large = large.join(signs.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "x", "y")]), "b").filter(_near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -321,7 +326,7 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = nodes.join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.groupBy("first.uid").agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
     kept = scratch.save(kept, "kept")
-    scratch.drop("signs", "nodes", "held", "weight", "weighed", "stars", "texts", "first", "joined", "placed", "mixed", "active", "sets", "pairs", "final")
+    scratch.drop("signs", "nodes", "held", "weight", "weighed", "stars", "texts-need", "more-need", "more", "first", "joined", "placed", "mixed", "small", "active", "sets", "pairs", "final")
     return every.join(kept, "uid", "left").select(
         "doc_id",
         "n_lines",
