@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import fill, holds, keep_some, repeated_keys, size_for
+from .bloom import fill, holds, keep_some, mark, repeated_keys, size_for
 from .common import Scratch, components, pick
 from .hashing import _INVERSE, _P, STEP, _table, distinct, mix, tidy
-from .ngram_join import _ends, _rare_pairs
+from .ngram_join import _ends
 
 #: Characters of a shingle.
 WIDTH = 5
@@ -31,6 +32,8 @@ BINS = 128
 WAYS = [(1, 40, 16), (32, 80, 10), (64, 160, 7), (128, 1 << 40, 5)]
 #: Lines of a band are paired out if they are so many at most; larger bands are searched by rarest shingles.
 PAIRED = 256
+#: Counters of shingles, by which rare ones are known, and those that tasks report together.
+TALLIES, TALLY_SLICE = 1 << 21, 1 << 15
 
 # Fixed value: what is trimmed from a line.
 _TRIM = np.zeros(256, bool)
@@ -220,17 +223,85 @@ def _alike(percent: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component, line) to (node, component, n, shingles)."""
+def _shingled(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Shingles of the lines in the last column as (first row, rows, row, hash)."""
+    at, data = _buffers(batch.column(batch.num_columns - 1).cast(pa.large_binary()).cast(pa.large_string(), safe=False))
+    for first, end in _steps(at):
+        raw, cut = data[at[first] : at[end]], at[first : end + 1] - at[first]
+        for low, lines, line, h in shingle_sets(raw, cut[:-1], cut[1:]):
+            yield first + low, lines, line, h
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the lines fall to each of ``TALLIES`` counters, slice by slice."""
+    tally = np.zeros(TALLIES, np.int64)
     for batch in batches:
-        at, data = _buffers(batch.column(2).cast(pa.large_binary()).cast(pa.large_string(), safe=False))
-        for first, end in _steps(at):
-            raw, cut = data[at[first] : at[end]], at[first : end + 1] - at[first]
-            for low, lines, line, h in shingle_sets(raw, cut[:-1], cut[1:]):
-                ends = np.searchsorted(line, np.arange(lines + 1)).astype(np.int32)
-                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.astype(np.int64)))
-                own = [batch.column(c).slice(first + low, lines) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(ends).astype(np.int64)), grams], ["node", "component", "n", "grams"])
+        for _, _, _, h in _shingled(batch):
+            tally += np.bincount((h % TALLIES).astype(np.int64), minlength=TALLIES)
+    parts = np.minimum(tally, 65535).astype("<u2").reshape(-1, TALLY_SLICE)
+    some = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["slice", "tally"])
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(TALLY_SLICE, np.int64)
+    for told in pdf["tally"]:
+        total += np.frombuffer(told, "<u2")
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "tally": [np.minimum(total, 65535).astype("<u2").tobytes()]})
+
+
+def tallies(lines: DataFrame, scratch: Scratch) -> bytes:
+    """Counters of the shingles of lines (the one column): at least as many as a shingle has, as several share a counter."""
+    told = lines.mapInArrow(tidy(_tallied), "slice int, tally binary")
+    slices = scratch.save(told.groupBy("slice").applyInPandas(_summed, "slice int, tally binary"), "tallies")
+    out = bytearray(2 * TALLIES)
+    for row in slices.toLocalIterator():
+        at = 2 * TALLY_SLICE * row["slice"]
+        out[at : at + 2 * TALLY_SLICE] = row["tally"]
+    scratch.drop("tallies")
+    return bytes(out)
+
+
+def _rarest(shared, percent: int):
+    """(node, component, n, x, y, line) to the same with ``grams`` for the line: so many of its rarest shingles, rarest first, that
+    two lines that are alike share one.
+
+    Shingles are ordered by their counter, then by their hash: the order is the same for all lines, which is what makes this exact.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = np.frombuffer(shared.value, "<u2").astype(np.uint64)
+        for batch in batches:
+            for first, lines, line, h in _shingled(batch):
+                order = np.lexsort(((tally[(h % TALLIES).astype(np.int64)] << BITS) | h, line))
+                size = np.bincount(line, minlength=lines)
+                place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+                early = place <= (size - (size * percent + 99) // 100)[line]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(line[early], minlength=lines))]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[order][early].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*[c.slice(first, lines) for c in batch.columns[:-1]], grams], [*batch.schema.names[:-1], "grams"])
+
+    return run
+
+
+def _rare_pairs(lines: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of lines (node, component, n, x, y, line) in different components that may be alike, by their rarest shingles.
+
+    Lines that are alike share one of the first n - ceil(percent n / 100) + 1 shingles of each, and from the first that they share
+    on, enough must follow in both. Only those shingles leave a line, and of them only such as may occur twice.
+    """
+    shared = lines.sparkSession.sparkContext.broadcast(tallies(lines.select("line"), scratch))
+    schema = "node long, component long, n long, x long, y long, grams array<long>"
+    index = scratch.save(lines.select("node", "component", "n", "x", "y", "line").mapInArrow(tidy(_rarest(shared, percent)), schema), "index")
+    bits = size_for(index.agg(F.sum(F.size("grams"))).first()[0] or 0, 8, 1 << 29)
+    twice = fill(index.select("grams"), bits, least=2)
+    rows = index.select("node", "component", "n", "x", "y", F.posexplode("grams").alias("place", "gram"))
+    rows = scratch.save(mark(rows, "gram", twice, bits).filter("maybe").drop("maybe"), "places")
+    scratch.drop("index")
+    other = rows.select("gram", *[F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "x", "y", "place")])
+    enough = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= percent * (F.col("n") + F.col("n2"))
+    both = rows.join(other, "gram").filter((F.col("component") < F.col("component2")) & enough & _near(percent))
+    return both.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def _near(percent: int) -> Column:
@@ -254,6 +325,14 @@ def _tested(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "la", "lb").mapInArrow(tidy(_alike(percent)), "a long, b long")
 
 
+def _once(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, n, x, y, keys) with one row for each node. Only rows that a filter takes for repeated ones are shuffled."""
+    bits = size_for(signed.count(), 16, 1 << 29)
+    marked = mark(signed, "node", fill(signed.select("node"), bits, least=2), bits)
+    again = scratch.save(marked.filter("maybe").drop("maybe").dropDuplicates(["node"]), "again")
+    return marked.filter("not maybe").drop("maybe").union(again)
+
+
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_lines (numbers of the lines that stay, from 0).
 
@@ -266,7 +345,7 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     Equal lines become one node. Nodes that share a band and differ in few bits (see ``signatures``) are candidates; each is tested against the
     most central of the nodes it meets, the one that shares most with others. Where a band's nodes then still lie in several
     components, they are paired out across these if they are ``PAIRED`` at most; else the rest is searched by rarest
-    shingles, so that no band of many lines is paired out. Every pair is verified by exact Jaccard. Components come from
+    shingles (see ``_rare_pairs``), so that no band of many lines is paired out. Every pair is verified by exact Jaccard. Components come from
     distributed union-find. Lines are named by 64 bits, shingles by 48.
     """
     scratch = Scratch(docs.sparkSession, "lines")
@@ -274,23 +353,25 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     numbered = source.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
     signed = scratch.save(numbered.mapInArrow(tidy(_signed), SIGNED), "signed")
 
-    signs = scratch.save(signed.filter("n is not null").select("node", "n", "x", "y").dropDuplicates(["node"]), "signs")
-    named = scratch.save(repeated_keys(signed.filter("n is not null").select("keys", "node")), "named")
     places = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "line_no")
     nodes = scratch.save(signed.filter("node is not null").groupBy("node").agg(F.min(places).alias("first")), "nodes")
     every = scratch.save(signed.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.count("node").alias("n_lines")), "every")
-    scratch.drop("signed")
-    repeated = named.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
-    held = scratch.save(named.join(repeated, "key").distinct(), "held")
+    own = _once(signed.filter("n is not null").select("node", "n", "x", "y", "keys"), scratch)
+    signs = scratch.save(own.drop("keys"), "signs")
+    named = scratch.save(repeated_keys(own.select("keys", "node")), "named")
+    scratch.drop("signed", "again")
+    sizes = named.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    held = scratch.save(named.join(sizes, "key"), "held")
     scratch.drop("named")
-    sizes = held.groupBy("key").agg(F.count("*").alias("size"))
-    weight = scratch.save(held.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight")), "weight")
+    weight = scratch.save(held.groupBy("node").agg(F.sum("size").alias("weight")), "weight")
     signs = scratch.save(signs.join(weight, "node"), "weighed")
-    held = scratch.save(held.join(signs, "node"), "known")
+    held = scratch.save(held.select("key", "node").join(signs, "node"), "known")
+    scratch.drop("signs", "held", "weight")
     centre = scratch.save(held.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "x", "y")).alias("centre")), "centre")
     met = held.join(centre, "key").select("node", "n", "x", "y", "centre", *[F.col(f"centre.{c}").alias(f"{c}2") for c in ("n", "x", "y")])
     best = met.filter(_near(percent)).groupBy("node").agg(F.max("centre")["node"].alias("centre")).filter("node <> centre")
     stars = scratch.save(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), "stars")
+    scratch.drop("centre")
 
     def read(some: DataFrame, name: str) -> DataFrame:
         """The lines of some nodes."""
@@ -304,7 +385,7 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     scratch.drop("texts")
     joined = scratch.save(components(first, scratch, "one"), "joined")
     placed = scratch.save(held.join(joined, "node", "left").select("key", "node", "n", "x", "y", F.coalesce("component", "node").alias("component")), "placed")
-    scratch.drop("known", "centre")
+    scratch.drop("known")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
     mixed = scratch.save(mixed.select("key", "size"), "mixed")
     some = placed.join(mixed.filter(F.col("size") <= PAIRED).select("key"), "key")
@@ -313,10 +394,10 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     active = placed.join(mixed.filter(F.col("size") > PAIRED).select("key"), "key", "left_semi").select("node", "component").distinct()
     active = scratch.save(active, "active")
     small = scratch.save(small.distinct(), "small")
+    scratch.drop("placed", "mixed")
     lines = read(_ends(small).union(active.select("node")).distinct(), "more")
-    sets = keep_some(lines, F.col("node"), active, F.col("node")).join(active, "node").select("node", "component", "line").mapInArrow(tidy(_sets), "node long, component long, n long, grams array<long>")
-    large = _rare_pairs(scratch.save(sets, "sets"), percent).join(signs.select(F.col("node").alias("a"), "n", "x", "y"), "a")
-    large = large.join(signs.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "x", "y")]), "b").filter(_near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowd = keep_some(lines, F.col("node"), active, F.col("node")).join(active, "node").join(signs.select("node", "n", "x", "y"), "node")
+    large = _rare_pairs(scratch.save(crowd, "crowd"), percent, scratch)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = scratch.save(small.union(large).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
     second = _tested(pairs, lines, percent)
@@ -326,7 +407,7 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = nodes.join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.groupBy("first.uid").agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
     kept = scratch.save(kept, "kept")
-    scratch.drop("signs", "nodes", "held", "weight", "weighed", "stars", "texts-need", "more-need", "more", "first", "joined", "placed", "mixed", "small", "active", "sets", "pairs", "final")
+    scratch.drop("nodes", "weighed", "stars", "texts-need", "more-need", "more", "first", "joined", "small", "active", "crowd", "places", "pairs", "final")
     return every.join(kept, "uid", "left").select(
         "doc_id",
         "n_lines",

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tarnql.llm.line_dedup import _signed, line_dedup
+from tarnql.llm.line_dedup import TALLIES, _rarest, _signed, line_dedup
 
 from .cases import frame, jaccard, joined, prose
 
@@ -79,3 +81,40 @@ def test_a_large_family_is_one_component(spark):
     own = joined([character_shingles(x) for x in lines], jaccard(80))
     got = sum(len(r.kept_lines) for r in line_dedup(frame(spark, [(i, x, "", "") for i, x in enumerate(lines)])).collect())
     assert got == len(set(own))
+
+
+def test_lines_alike_share_one_of_their_rarest_shingles():
+    """Whatever the counters hold, and of each line a fifth and one at most leave it."""
+    rng = random.Random(11)
+    lines = [x or "empty" for k in range(200) for x in family(rng, prose(rng, 2 + 2 * (k % 30)), 4)]
+    sets = [character_shingles(x) for x in lines]
+    node, zero = pa.array(range(len(lines))), pa.array([0] * len(lines))
+
+    class Shared:
+        value = np.random.default_rng(11).integers(0, 4, TALLIES).astype("<u2").tobytes()
+
+    batch = pa.RecordBatch.from_arrays([node, node, zero, zero, zero, pa.array([x.encode() for x in lines])], ["node", "component", "n", "x", "y", "line"])
+    made = {r["node"]: r["grams"] for b in _rarest(Shared, 80)(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist()}
+    assert [len(made[i]) for i in range(len(lines))] == [len(s) - -(-80 * len(s) // 100) + 1 for s in sets]
+    near = [(i, j) for k in range(0, len(lines), 5) for i in range(k, k + 5) for j in range(k, i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(near) > 500 and all(set(made[i]) & set(made[j]) for i, j in near)
+
+
+def shuffled(spark, after=-1):
+    """The last stage, and the records that stages after the given one have written for shuffles."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return max((s.stageId() for s in stages), default=-1), sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after)
+
+
+def test_a_crowded_band_moves_few_of_its_lines_shingles(spark):
+    """Lines of one form, each with words of its own, share bands without being alike; a copy among them with one letter changed is found."""
+    rng = random.Random(12)
+    form = prose(rng, 50)[:300]
+    lines = [form + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(110)) for _ in range(1500)]
+    lines.append(lines[7][:-1] + "#")
+    before, _ = shuffled(spark)
+    got = line_dedup(frame(spark, [(i, x, "", "") for i, x in enumerate(lines)])).filter(F.col("n_removed") > 0).collect()
+    assert [r.doc_id for r in got] == [1500]
+    assert shuffled(spark, before)[1] < sum(len(x) - 4 for x in lines)
