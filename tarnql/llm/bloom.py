@@ -51,7 +51,13 @@ def _flat(column: pa.Array) -> np.ndarray:
     return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
 
 
-def _seen(bits: int):
+def in_share(h: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Whether each fingerprint is in share k of so many."""
+    k, shares = share
+    return ((h.view(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(48)) * np.uint64(shares) >> np.uint64(16) == k
+
+
+def _seen(bits: int, share: tuple[int, int] = (0, 1)):
     """A task reports the positions of its fingerprints, a million fingerprints or so at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +65,8 @@ def _seen(bits: int):
         for batch in batches:
             values = _flat(batch.column(0))
             for i in range(0, len(values), LOT):
-                parts.append(places(values[i : i + LOT], bits).ravel())
+                lot = values[i : i + LOT]
+                parts.append(places(lot if share[1] == 1 else lot[in_share(lot, share)], bits).ravel())
                 n += len(parts[-1])
                 if n > 8 * LOT:
                     yield from _told(parts)
@@ -96,10 +103,10 @@ def size_for(rows: int, bits_per_row: int, max_bits: int) -> int:
     return bits
 
 
-def fill(prints: DataFrame, bits: int, least: int = 1) -> bytes:
+def fill(prints: DataFrame, bits: int, least: int = 1, share: tuple[int, int] = (0, 1)) -> bytes:
     """The filter of the fingerprints in the one column of ``prints``, of numbers or arrays of them: bits set ``least`` (1 or 2) times
-    or more."""
-    told = prints.mapInArrow(tidy(_seen(bits)), "slice int, once binary, again binary")
+    or more. Of them only those of a share count (see ``in_share``)."""
+    told = prints.mapInArrow(tidy(_seen(bits, share)), "slice int, once binary, again binary")
     scratch = Scratch(prints.sparkSession, "filter")
     slices = scratch.save(told.groupBy(F.shiftright("slice", 3)).applyInPandas(_merge(least), "slice int, plane binary"), "slices")
     plane = bytearray(bits // 8)
@@ -127,30 +134,32 @@ def mark(df: DataFrame, column: str, plane: bytes, bits: int) -> DataFrame:
     return df.withColumn("maybe", _maybe(df.sparkSession, plane, bits)(F.col(column)))
 
 
-def _survivors(shared, bits: int):
+def _survivors(shared, bits: int, share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             keys = batch.column(0)
             flat = keys.flatten().to_numpy(zero_copy_only=False)
-            held = np.flatnonzero(holds(plane, flat, bits))
+            some = holds(plane, flat, bits)
+            held = np.flatnonzero(some if share[1] == 1 else some & in_share(flat, share))
             owner = pa.array(np.repeat(np.arange(len(keys)), keys.value_lengths().fill_null(0).to_numpy())[held])
             yield pa.RecordBatch.from_arrays([pa.array(flat[held]), *[c.take(owner) for c in batch.columns[1:]]], ["key", *batch.schema.names[1:]])
 
     return run
 
 
-def repeated_keys(rows: DataFrame, bits_per_key: int = 8, max_bits: int = 1 << 29) -> DataFrame:
-    """``rows`` (keys, an array of numbers, and other columns of numbers) to a row for each key that may occur twice in the table.
+def repeated_keys(rows: DataFrame, bits_per_key: int = 8, max_bits: int = 1 << 29, share: tuple[int, int] = (0, 1), apart: int = 1) -> DataFrame:
+    """``rows`` (keys, an array of numbers, and other columns of numbers) to a row for each key that may occur twice in the table,
+    or for those of them that are in a share, which is one of ``apart`` in these rows.
 
     A filter of bits set twice lets about one in twenty of those that occur once pass too. It takes 64 MB at most; where that
     is too small more keys pass, and what is grouped by key afterwards is the same.
     """
     n = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
-    bits = size_for(n, bits_per_key, max_bits)
-    shared = rows.sparkSession.sparkContext.broadcast(fill(rows.select("keys"), bits, least=2))
+    bits = size_for(-(-n // apart), bits_per_key, max_bits)
+    shared = rows.sparkSession.sparkContext.broadcast(fill(rows.select("keys"), bits, least=2, share=share))
     others = [c for c in rows.columns if c != "keys"]
-    return rows.select("keys", *others).mapInArrow(tidy(_survivors(shared, bits)), ", ".join(["key long", *[f"{c} long" for c in others]]))
+    return rows.select("keys", *others).mapInArrow(tidy(_survivors(shared, bits, share)), ", ".join(["key long", *[f"{c} long" for c in others]]))
 
 
 def keep_some(df: DataFrame, key: Column, others: DataFrame, other_key: Column, bits_per_row: int = 16, max_bits: int = 1 << 27) -> DataFrame:

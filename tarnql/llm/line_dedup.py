@@ -7,6 +7,7 @@ README has the figures). Everything between them is joins and aggregations.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import fill, holds, keep_some, mark, repeated_keys, size_for
+from .bloom import fill, holds, in_share, keep_some, mark, repeated_keys, size_for
 from .common import Scratch, components, pick
 from .hashing import _INVERSE, _P, STEP, _table, distinct, mix, tidy
-from .ngram_join import _ends
 
 #: Characters of a shingle.
 WIDTH = 5
@@ -26,12 +26,19 @@ _ODD = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 BITS = np.uint64(48)
 #: Bins of the range of hashes; a line's signature is the least hash of each.
 BINS = 128
-#: Ways of banding: (from so many shingles, to fewer than so many, bins of a band). Similar lines differ in size by a quarter at
-#: most, so two of them always have a way in common. The first takes every hash in a sixteenth of the bins, not the least alone.
-#: At similarity 0.8 that no band is shared has a chance of 0.003 at most the first way, 0.001 in between, and 0.0001 the last.
-WAYS = [(1, 40, 16), (32, 80, 10), (64, 160, 7), (128, 1 << 40, 5)]
+#: Ways of banding: (from so many shingles, to fewer than so many, bands). Similar lines differ in size by a quarter at
+#: most, so two of them always have a way in common. The first takes every hash in an eighth of the bins, not the least alone.
+#: Bands are of even width: one of the few bins left over would be shared by lines that have little in common.
+#: At similarity 0.8 that no band is shared has a chance of 0.003 at most the first way, 0.002 and 0.001 in between, and 0.0001 the last.
+WAYS = [(1, 40, 8), (32, 80, 13), (64, 160, 18), (128, 1 << 40, 25)]
+#: Lines of a band are compared with each other, by their bits, if they are so many at most; of larger bands all lines stay.
+COMPARED = 4096
 #: Lines of a band are paired out if they are so many at most; larger bands are searched by rarest shingles.
 PAIRED = 256
+#: Columns by which names of bands are dealt, and names that are filtered and grouped at once: more are taken in rounds.
+SHARES, ROUND = 16, 1 << 25
+#: Rows compared at once, or one larger band.
+LOT = 1 << 16
 #: Counters of shingles, by which rare ones are known, and those that tasks report together.
 TALLIES, TALLY_SLICE = 1 << 21, 1 << 15
 
@@ -128,17 +135,17 @@ def signatures(line: np.ndarray, h: np.ndarray, lines: int) -> tuple[np.ndarray,
     low, cell = mix(h[first]), cell[first]
     owner, place = cell // BINS, cell % BINS
     found = []
-    for way, (least, most, width) in enumerate(WAYS):
+    for way, (least, most, bands) in enumerate(WAYS):
         own = ((size >= least) & (size < most))
         if not own.any():
             continue
         if way == 0:  # every hash
             some = np.flatnonzero(own[line])
-            x, at, band = mix(h[some]), line[some], ((h[some] * np.uint64(BINS)) >> BITS).astype(np.int64) // width
+            x, at, band = mix(h[some]), line[some], ((h[some] * np.uint64(BINS)) >> BITS).astype(np.int64) * bands // BINS
             band[size[at] < 4] = 0
         else:
             some = np.flatnonzero(own[owner])
-            x, at, band = low[some], owner[some], place[some] // width
+            x, at, band = low[some], owner[some], place[some] * bands // BINS
         new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (at[1:] != at[:-1])]))
         found.append((at[new], mix(np.add.reduceat(x, new) ^ mix(np.array([way], np.uint64)))))
     bits = np.zeros(2 * lines, np.uint64)
@@ -150,7 +157,8 @@ def signatures(line: np.ndarray, h: np.ndarray, lines: int) -> tuple[np.ndarray,
     return np.concatenate([none, *[a for a, _ in found]]), np.concatenate([none, *[b.view(np.int64) for _, b in found]]), bits.reshape(lines, 2).view(np.int64)
 
 
-SIGNED = "doc_id long, uid long, line_no int, node long, n long, x long, y long, keys array<long>"
+KEYS = [f"keys{k}" for k in range(SHARES)]
+DEALT = "doc_id long, uid long, line_no int, node long, n long, x long, y long, " + ", ".join(f"{c} array<long>" for c in KEYS)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +188,19 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "line_no", "node", "n", "x", "y", "keys"])
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_signed`` with names of bands dealt to the columns ``KEYS``."""
+    for batch in _signed(batches):
+        keys = batch.column(7)
+        flat, owner = keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), keys.value_lengths().fill_null(0).to_numpy())
+        columns = batch.columns[:7]
+        for k in range(SHARES):
+            some = np.flatnonzero(in_share(flat, (k, SHARES)))
+            ends = np.searchsorted(owner[some], np.arange(len(keys) + 1)).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[some])))
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:7], *KEYS])
+
+
 def _wanted(shared, bits: int):
     """(text) to (node, line) of the lines that a filter of nodes may hold."""
 
@@ -317,6 +338,85 @@ def _near(percent: int) -> Column:
     return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (turned <= most)
 
 
+def _met(percent: int, most: int):
+    """Rows (key, node, n, x, y), ordered by key and n, to those that may be alike with another of the same key, with ``met``, the number
+    of such others.
+
+    Every two rows of a key that are near enough in size are compared by their bits, as in ``_near``. Of a key with more rows than
+    ``most`` all stay, as if they had met so many.
+    """
+    ratio, share = (100 - percent) / (100 + percent), (100 - percent) / 200
+    limit = BINS * share + 5 * (BINS * share * (1 - share)) ** 0.5
+
+    def told(rows: list[np.ndarray], large: bool = False) -> pa.RecordBatch:
+        key, _, n, x, y = rows
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(new, len(key)))
+        end, size = np.repeat(new + size, size), np.repeat(size, size)
+        met = np.where(large | (size > most), most, 0)
+        i, step = np.flatnonzero(met == 0), 0
+        while len(i):  # a row that is too small for the one so far behind it is so for all that follow
+            step += 1
+            i = i[i + step < end[i]]
+            i = i[100 * n[i] >= percent * n[i + step]]
+            j = i + step
+            apart = (n[i] + n[j]) * ratio
+            turned = np.bitwise_count(x[i] ^ x[j]).astype(np.int64) + np.bitwise_count(y[i] ^ y[j])
+            near = turned <= np.minimum(0.5 * apart + 2.5 * np.sqrt(apart), limit)
+            met[i[near]] += 1
+            met[j[near]] += 1
+        return pa.RecordBatch.from_arrays([pa.array(c[met > 0].view(np.int64)) for c in (*rows, met)], ["key", "node", "n", "x", "y", "met"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, count, large = [], 0, None
+        for batch in batches:
+            rows = [c.to_numpy().view(np.uint64) if k > 2 else c.to_numpy() for k, c in enumerate(batch.columns)]
+            if large is not None and len(rows[0]):  # the rest of a key with too many rows
+                more = int(np.searchsorted(rows[0], large, side="right"))
+                if more:
+                    yield told([c[:more] for c in rows], True)
+                if more < len(rows[0]):
+                    large = None
+                rows = [c[more:] for c in rows]
+            if not len(rows[0]):
+                continue
+            parts.append(rows)
+            count += len(rows[0])
+            if count < LOT:
+                continue
+            rows = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield told([c[:last] for c in rows])
+            parts, count = [[c[last:] for c in rows]], len(rows[0]) - last
+            if count > most:
+                yield told(parts[0], True)
+                parts, count, large = [], 0, rows[0][-1]
+        if parts:
+            yield told([np.concatenate(c) for c in zip(*parts, strict=True)])
+
+    return run
+
+
+def _meetings(own: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, n, x, y, KEYS) to (key, node, n, x, y, met), a row for each band of a line in which it may be alike with another line.
+
+    Most of what shares a band shares little else, and the more lines there are the more so; it ends here, after one shuffle. Bands are taken
+    in rounds by their names, so that neither the shuffle nor what the filter lets through grows with the table.
+    """
+    total = own.agg(F.sum(sum((F.size(c) for c in KEYS), F.lit(0)))).first()[0] or 0
+    rounds = 1
+    while rounds * ROUND < total:
+        rounds *= 2
+    found = []
+    for k in range(rounds):  # each reads its columns, or one column and of it a part
+        own_keys = F.concat(*KEYS[k * SHARES // rounds : (k + 1) * SHARES // rounds]) if rounds <= SHARES else F.col(KEYS[k * SHARES // rounds])
+        share = (k, rounds) if rounds > SHARES else (0, 1)
+        rows = repeated_keys(own.select(own_keys.alias("keys"), "node", "n", "x", "y"), share=share, apart=rounds // SHARES or 1).repartition("key").sortWithinPartitions("key", "n")
+        found.append(scratch.save(rows.mapInArrow(tidy(_met(percent, COMPARED)), "key long, node long, n long, x long, y long, met long"), f"met/{k}"))
+    return reduce(DataFrame.union, found)
+
+
 def _tested(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that link."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -326,7 +426,7 @@ def _tested(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 
 def _once(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, n, x, y, keys) with one row for each node. Only rows that a filter takes for repeated ones are shuffled."""
+    """(node, n, x, y, KEYS) with one row for each node. Only rows that a filter takes for repeated ones are shuffled."""
     bits = size_for(signed.count(), 16, 1 << 29)
     marked = mark(signed, "node", fill(signed.select("node"), bits, least=2), bits)
     again = scratch.save(marked.filter("maybe").drop("maybe").dropDuplicates(["node"]), "again")
@@ -342,7 +442,8 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     no lines. Documents with the same doc_id are separate rows, and repeated rows copies of the first. Lines of any length are read whole.
     Columns that clash with those used do not matter. An empty table gives an empty result.
 
-    Equal lines become one node. Nodes that share a band and differ in few bits (see ``signatures``) are candidates; each is tested against the
+    Equal lines become one node. Nodes that share a band and differ in few bits (see ``signatures``) are candidates, and of a band only those
+    go on (see ``_meetings``); each is tested against the
     most central of the nodes it meets, the one that shares most with others. Where a band's nodes then still lie in several
     components, they are paired out across these if they are ``PAIRED`` at most; else the rest is searched by rarest
     shingles (see ``_rare_pairs``), so that no band of many lines is paired out. Every pair is verified by exact Jaccard. Components come from
@@ -351,51 +452,42 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     source = pick(docs, "doc_id", "text")
     numbered = source.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
-    signed = scratch.save(numbered.mapInArrow(tidy(_signed), SIGNED), "signed")
+    signed = scratch.save(numbered.mapInArrow(tidy(_dealt), DEALT), "signed")
 
     places = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "line_no")
     nodes = scratch.save(signed.filter("node is not null").groupBy("node").agg(F.min(places).alias("first")), "nodes")
     every = scratch.save(signed.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.count("node").alias("n_lines")), "every")
-    own = _once(signed.filter("n is not null").select("node", "n", "x", "y", "keys"), scratch)
-    signs = scratch.save(own.drop("keys"), "signs")
-    named = scratch.save(repeated_keys(own.select("keys", "node")), "named")
+    own = _once(signed.filter("n is not null").select("node", "n", "x", "y", *KEYS), scratch)
+    met = _meetings(own, percent, scratch)
     scratch.drop("signed", "again")
-    sizes = named.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    held = scratch.save(named.join(sizes, "key"), "held")
-    scratch.drop("named")
-    weight = scratch.save(held.groupBy("node").agg(F.sum("size").alias("weight")), "weight")
-    signs = scratch.save(signs.join(weight, "node"), "weighed")
-    held = scratch.save(held.select("key", "node").join(signs, "node"), "known")
-    scratch.drop("signs", "held", "weight")
+    signs = met.groupBy("node").agg(F.sum("met").alias("weight"), *[F.first(c).alias(c) for c in ("n", "x", "y")])
+    signs = scratch.save(signs, "weighed")
+    held = scratch.save(met.select("key", "node").join(signs, "node"), "known")
+    scratch.drop("met")
     centre = scratch.save(held.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "x", "y")).alias("centre")), "centre")
     met = held.join(centre, "key").select("node", "n", "x", "y", "centre", *[F.col(f"centre.{c}").alias(f"{c}2") for c in ("n", "x", "y")])
     best = met.filter(_near(percent)).groupBy("node").agg(F.max("centre")["node"].alias("centre")).filter("node <> centre")
     stars = scratch.save(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), "stars")
     scratch.drop("centre")
 
-    def read(some: DataFrame, name: str) -> DataFrame:
-        """The lines of some nodes."""
-        need = scratch.save(some, f"{name}-need")
-        bits = size_for(need.count(), 16, 1 << 27)
-        shared = docs.sparkSession.sparkContext.broadcast(fill(need, bits))
-        lines = source.select("text").mapInArrow(tidy(_wanted(shared, bits)), "node long, line binary")
-        return scratch.save(lines.join(need, "node", "left_semi").dropDuplicates(["node"]), name)
-
-    first = scratch.save(_tested(stars, read(_ends(stars), "texts"), percent), "first")
-    scratch.drop("texts")
+    need = signs.select("node")
+    bits = size_for(need.count(), 16, 1 << 27)
+    wanted = source.select("text").mapInArrow(tidy(_wanted(docs.sparkSession.sparkContext.broadcast(fill(need, bits)), bits)), "node long, line binary")
+    lines = scratch.save(wanted.join(need, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    first = scratch.save(_tested(stars, lines, percent), "first")
     joined = scratch.save(components(first, scratch, "one"), "joined")
     placed = scratch.save(held.join(joined, "node", "left").select("key", "node", "n", "x", "y", F.coalesce("component", "node").alias("component")), "placed")
     scratch.drop("known")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
-    mixed = scratch.save(mixed.select("key", "size"), "mixed")
-    some = placed.join(mixed.filter(F.col("size") <= PAIRED).select("key"), "key")
+    mixed = scratch.save(placed.join(mixed.select("key", "size"), "key"), "mixed")
+    scratch.drop("placed")
+    some = mixed.filter(F.col("size") <= PAIRED).drop("size")
     other = some.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "x", "y", "component")])
     small = some.join(other, "key").filter((F.col("component") < F.col("component2")) & _near(percent)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-    active = placed.join(mixed.filter(F.col("size") > PAIRED).select("key"), "key", "left_semi").select("node", "component").distinct()
+    active = mixed.filter(F.col("size") > PAIRED).select("node", "component").distinct()
     active = scratch.save(active, "active")
     small = scratch.save(small.distinct(), "small")
-    scratch.drop("placed", "mixed")
-    lines = read(_ends(small).union(active.select("node")).distinct(), "more")
+    scratch.drop("mixed")
     crowd = keep_some(lines, F.col("node"), active, F.col("node")).join(active, "node").join(signs.select("node", "n", "x", "y"), "node")
     large = _rare_pairs(scratch.save(crowd, "crowd"), percent, scratch)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -407,7 +499,7 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = nodes.join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.groupBy("first.uid").agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
     kept = scratch.save(kept, "kept")
-    scratch.drop("nodes", "weighed", "stars", "texts-need", "more-need", "more", "first", "joined", "small", "active", "crowd", "places", "pairs", "final")
+    scratch.drop("nodes", "weighed", "stars", "texts", "first", "joined", "small", "active", "crowd", "places", "pairs", "final")
     return every.join(kept, "uid", "left").select(
         "doc_id",
         "n_lines",

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tarnql.llm.line_dedup import TALLIES, _rarest, _signed, line_dedup
+import tarnql.llm.line_dedup as line_dedup_module
+from tarnql.llm.line_dedup import TALLIES, _met, _rarest, _signed, line_dedup
 
 from .cases import frame, jaccard, joined, prose
 
@@ -118,3 +119,73 @@ def test_a_crowded_band_moves_few_of_its_lines_shingles(spark):
     got = line_dedup(frame(spark, [(i, x, "", "") for i, x in enumerate(lines)])).filter(F.col("n_removed") > 0).collect()
     assert [r.doc_id for r in got] == [1500]
     assert shuffled(spark, before)[1] < sum(len(x) - 4 for x in lines)
+
+
+def test_no_band_is_narrow():
+    """Lines of a hundred letters at random, so without a shingle in common, share no band; one of two bins would often be a single hash."""
+    rng = random.Random(13)
+    lines = [prose(rng, 40)[:90] + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(2000)]
+    sets, made = [character_shingles(x) for x in lines], signed(lines)
+    holders = {}
+    for i, (_, keys, _) in enumerate(made):
+        for key in keys:
+            holders.setdefault(key, []).append(i)
+    apart = sum(1 for own in holders.values() for k, i in enumerate(own) for j in own[:k] if 3 * len(sets[i] & sets[j]) < len(sets[i] | sets[j]))
+    assert apart < 300
+
+
+def test_only_lines_that_may_be_alike_leave_a_band():
+    """Held against all pairs, whatever the batches; of a band with too many lines all stay."""
+    rng, random_bits = np.random.default_rng(14), np.random.default_rng(15)
+    rows = []
+    for key in range(300):
+        size = int(rng.choice([1, 2, 3, 9, 40, 130]))
+        base = random_bits.integers(0, 1 << 63, (3, 2))
+        for _ in range(size):
+            x, y = base[rng.integers(3)]
+            flips = rng.integers(0, 63, rng.integers(0, 40))
+            rows.append((key, len(rows), int(rng.integers(100, 400)), int(x ^ np.bitwise_xor.reduce(1 << flips, initial=0)), int(y)))
+    rows.sort(key=lambda r: (r[0], r[2]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "node", "n", "x", "y"])
+    want = {}
+    for key in range(300):
+        own = [r for r in rows if r[0] == key]
+        for a in own:
+            met = sum(
+                100 * min(a[2], b[2]) >= 80 * max(a[2], b[2]) and (a[3] ^ b[3]).bit_count() + (a[4] ^ b[4]).bit_count() <= min((a[2] + b[2]) / 18 + 2.5 * ((a[2] + b[2]) / 9) ** 0.5, 12.8 + 5 * 11.52**0.5)
+                for b in own
+                if b is not a
+            )
+            if met or len(own) > 100:
+                want[a[1]] = 100 if len(own) > 100 else met
+    for width, lot in ((len(rows), 1 << 16), (37, 150), (1, 101)):
+        line_dedup_module.LOT, before = lot, line_dedup_module.LOT
+        try:
+            batches = [batch.slice(i, width) for i in range(0, len(rows), width)]
+            got = {r["node"]: r["met"] for b in _met(80, 100)(iter(batches)) for r in b.to_pylist()}
+        finally:
+            line_dedup_module.LOT = before
+        assert got == want
+
+
+def test_lines_without_a_like_move_once(spark):
+    """Of lines that share bands only, little is shuffled; and rounds, more of them than columns too, and crowded bands give the same rows."""
+    rng = random.Random(16)
+    form = prose(rng, 50)[:300]
+    lines = [form + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(110)) for _ in range(1500)]
+    lines += [x[:-1] + "#" for x in lines[:50]] + [x for k in range(40) for x in family(rng, prose(rng, 3 + 3 * (k % 20)), 4) if x]
+    docs = frame(spark, [(i, x, "", "") for i, x in enumerate(lines)])
+    before, _ = shuffled(spark)
+    want = sorted(map(tuple, line_dedup(docs).select("doc_id", "n_lines", "n_removed").collect()))
+    assert sum(r[2] for r in want) > 90
+    assert shuffled(spark, before)[1] < 260_000
+    kept = {name: getattr(line_dedup_module, name) for name in ("SHARES", "KEYS", "DEALT", "ROUND", "COMPARED", "PAIRED")}
+    try:
+        few = {"SHARES": 2, "KEYS": kept["KEYS"][:2], "DEALT": kept["DEALT"].split(", keys2")[0], "ROUND": 12_000}
+        for change in (few, {"COMPARED": 20, "PAIRED": 10}):
+            for name, value in (kept | change).items():
+                setattr(line_dedup_module, name, value)
+            assert sorted(map(tuple, line_dedup(docs).select("doc_id", "n_lines", "n_removed").collect())) == want
+    finally:
+        for name, value in kept.items():
+            setattr(line_dedup_module, name, value)
